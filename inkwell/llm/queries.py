@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import secrets, sharding, simhash
 from .common import table
 
 SHARDS = 16
@@ -14,6 +14,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.balanced(SHARDS), sharding.balanced(SHARDS + 1))
 
 
-QUERIES = {"op1_sharding": op1_sharding}
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op8_secret_scans": op8_secret_scans,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
+}
 #: No operator here has a twin in SQL yet; tests hold each against a brute-force version.
 ORACLES: dict[str, str] = {}
