@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licences, mixing, secrets, sharding, simhash, topk
+from . import decontaminate, licences, mixing, quality, secrets, sharding, simhash, topk
 from .common import table
 
 SHARDS = 16
@@ -22,6 +22,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_topk_search": op2_topk_search,
     "op3_source_mixing": op3_source_mixing,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_licence_scans": op7_licence_scans,
     "op8_secret_scans": op8_secret_scans,
