@@ -140,14 +140,17 @@ def layout(docs: DataFrame, goals: DataFrame, counted: DataFrame, block: int = B
 
 
 def taken_pieces(placed: DataFrame, goals: DataFrame, block: int = BLOCK, per_shard: int = SLOTS_PER_SHARD, seed: int = SEED) -> DataFrame:
-    """UNIT, copy, low, high, uses, part: words low to high of a document, taken uses times, and the first part of them once more."""
+    """UNIT, copy, low, high, uses, part: words low to high of a document, taken uses times, and the first part of them once more.
+
+    What comes out of Python has no known size, so the join is told not to broadcast it.
+    """
     used = slots(goals, block, per_shard, seed).groupBy("sid", "block").agg(F.sum("whole").alias("uses"), F.sum(F.when(F.col("whole") == 0, F.col("words")).otherwise(0)).alias("some"))
     end = F.col("start") + F.col("size")
     blocks = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
     low = F.greatest(F.col("start"), F.col("block") * block)
     high = F.least(end, (F.col("block") + 1) * block)
     part = F.greatest(F.lit(0), F.least(high, F.col("block") * block + F.col("some")) - low)
-    return blocks.join(used, ["sid", "block"]).select(*UNIT, "copy", (low - F.col("start")).alias("low"), (high - F.col("start")).alias("high"), "uses", part.alias("part"))
+    return blocks.join(used.hint("merge"), ["sid", "block"]).select(*UNIT, "copy", (low - F.col("start")).alias("low"), (high - F.col("start")).alias("high"), "uses", part.alias("part"))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
