@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licences, mixing, quality, secrets, sharding, simhash, topk
+from . import decontaminate, licences, mixing, paragraphs, quality, secrets, sharding, simhash, topk
 from .common import table
 
 SHARDS = 16
@@ -38,6 +38,10 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.duplicate_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_licence_scans": op7_licence_scans,
     "op8_secret_scans": op8_secret_scans,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 #: The others can't be expressed in SQL, or not on whole tables; tests hold each against a brute-force version.
