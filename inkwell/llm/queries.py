@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licences, mixing, paragraphs, quality, secrets, sharding, simhash, topk
+from . import decontaminate, licences, mixing, paragraphs, quality, secrets, sharding, simhash, substrings, topk
 from .common import table
 
 SHARDS = 16
@@ -30,6 +30,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op3_source_mixing": op3_source_mixing,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_licence_scans": op7_licence_scans,
     "op8_secret_scans": op8_secret_scans,
     "op9_substring_dedup": op9_substring_dedup,
