@@ -126,12 +126,37 @@ def linked(fps: DataFrame, within: int = WITHIN, parts: int = PARTS, hot: int =
     return pairs(few, ["k", "key"]).unionByName(pairs(many, ["k", "key", "j", "rest"]))
 
 
+def _named(fps: DataFrame, within: int, parts: int, hot: int, least: Column) -> DataFrame:
+    """fp and first, the least value of any fingerprint that links lead to."""
+    groups = cut(fps.groupBy("fp").agg(F.min(least).alias("least")))
+    roots = cut(components(linked(groups.select("fp"), within, parts, hot), "a", "b"))
+    placed = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    heads = placed.groupBy("root").agg(F.min("least").alias("first"))
+    return placed.join(heads, "root").select("fp", "first")
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, within: int = WITHIN, parts: int = PARTS, hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id, the smallest id that links lead to, for every row."""
     fps = cut(fingerprints(docs, words))
-    groups = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = cut(components(linked(groups.select("fp"), within, parts, hot), "a", "b"))
-    placed = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    heads = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(heads, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = _named(fps, within, parts, hot, F.col("doc_id"))
+    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = SHINGLE, within: int = WITHIN, parts: int = PARTS, hot: int = HOT) -> DataFrame:
+    """One row of docs for each component, with all its columns: that with the smallest id (null ids last).
+
+    Rows equal in id and text are one before anything is shuffled, so a document that is listed very often is no burden.
+    """
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))
+    keyed = docs.withColumn("_row_key", key)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = b"".join(fingerprint(x.as_py() or "", words) for x in batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_row_key"), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], names=["doc_id", "row_key", "fp"])
+
+    fps = cut(keyed.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "_row_key").mapInArrow(each, "doc_id long, row_key string, fp long"))
+    first = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("row_key"))
+    named = _named(fps, within, parts, hot, first)
+    winners = cut(named.select(F.col("first.row_key").alias("_row_key")).distinct())
+    return keyed.dropDuplicates(["_row_key"]).join(winners.hint("merge"), "_row_key", "left_semi").drop("_row_key")
