@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,11 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, and lost executors cost nothing."""
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """df written to the shared folder and read again: its lineage ends there, and lost executors cost nothing.
+
+    The shuffle files it took are deleted once the driver collects its garbage; free has it do so now.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkwell-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,21 +2,20 @@
 
 Suffix arrays are built by shards, and equal strings must meet in one. So every string of that length is given to an anchor:
 the position in it whose `gram` bytes have the least hash. That depends on nothing but the string, so equal strings have
-equal anchors, and strings that start side by side mostly share one. Three steps follow:
+equal anchors, and strings that start side by side mostly share one; the bytes under an anchor's strings are its stretch.
 
-1. Anchors are counted by hash. One that stands in no other text and at no other place has no repeated string.
-2. For the others, the stretch of text around (all strings that the anchor owns) goes to the shard of its hash. There, equal
-   stretches are told at once: all but the earliest are repeats throughout. Where stretches of one hash differ, the suffix array
-   of those is induced, with the common prefixes of neighbours, and gives the classes of equal strings; all but
-   the earliest of a class are repeats.
+1. Every stretch goes, as a hash, to the shard of its anchor. Of equal stretches all but the earliest are repeats throughout; those that
+   a task finds among its own are told before the shuffle. An anchor with one stretch, however often, is done with.
+2. Where the stretches of an anchor differ, the earliest of each go to the shard as bytes. The suffix array of the shard is induced, and the
+   common prefixes of neighbours give the classes of equal strings; all but the earliest of a class are repeats.
 3. Documents with repeats are cut; all others are digested as they are.
 
-Whole texts that are equal are told by their digests: only the first goes through these steps, its copies are removed whole if
-they have `length` bytes. A hash with more than `hot` places is first reduced to its different stretches, before its shard
-is formed, so a passage in a third of all documents costs its shard one row.
+An anchor in a large part of all documents (say, in a short line that many hold) may have as many stretches as documents. Such
+anchors are looked for in a sample of SAMPLE documents; their strings are counted one by one by hash instead, which takes no shard. The
+sample decides only on the way, not on the result.
 
 Defined cases: a null text is empty; rows equal in id and text are one document, listed so often; rows of one id with different texts are
-ordered by digest; null ids come last; texts under `length` bytes keep all; an empty table gives no rows. Texts
+ordered by checksum; null ids come last; texts under `length` bytes keep all; an empty table gives no rows. Texts
 of any size are searched whole: anchors are found in chunks that overlap by length - 1 bytes.
 """
 
@@ -27,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import suffixes
@@ -35,10 +34,15 @@ from .common import cut
 
 LENGTH = 100
 GRAM = 32
-HOT = 20_000
+SAMPLE = 20_000
+#: An anchor is hot if it stands in more than this share of the sample, and in HOT_LEAST documents of it at least.
+HOT_SHARE, HOT_LEAST = 0.005, 200
 CHUNK = 4 << 20
+ANCHORS_PER_FLUSH = 1 << 19
 SHARD_BYTES = 4 << 20
+TEXT_PER_SHARD = 12 << 20
 POSITION = 24
+PLACE = "doc_id long, mark int, h long, low long, high long"
 
 
 def anchors(raw: np.ndarray, valid: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,95 +104,193 @@ def _joined(held: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray
     return raw, valid, text, offset
 
 
-def _anchor_rows(length: int, gram: int):
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column("text")]
+
+
+def _docs_of(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(no id, id, mark) of the rows."""
+    column = batch.column("doc_id")
+    return column.is_null().to_numpy(zero_copy_only=False), column.fill_null(0).to_numpy(zero_copy_only=False), batch.column("mark").to_numpy(zero_copy_only=False)
+
+
+def _ids(no: np.ndarray, doc: np.ndarray) -> pa.Array:
+    return pa.array(doc, pa.int64(), mask=no)
+
+
+def _hashes(raw: np.ndarray, first: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    import xxhash
+
+    whole, digest = raw.tobytes(), xxhash.xxh3_64_digest
+    ends = (first + size).tolist()
+    return np.frombuffer(b"".join([digest(whole[a:b]) for a, b in zip(first.tolist(), ends)]), ">i8").astype(np.int64)
+
+
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Whether a row of sorted keys differs from the one before."""
+    out = np.ones(len(keys[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return out
+
+
+def _earliest(group: tuple, place: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that are the earliest of their group, rows that are later ones); a row in the same place as the earliest is in neither."""
+    order = np.lexsort((*place[::-1], *group[::-1]))
+    new = _changes(*[k[order] for k in group])
+    lead = order[new][np.cumsum(new) - 1] if len(order) else order
+    later = np.logical_or.reduce([k[order] != k[lead] for k in place])
+    return order[new], order[later]
+
+
+def _runs(owner: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, low, high) of the stretches of string starts, those that adjoin in one document joined."""
+    order = np.lexsort((low, owner))
+    new = _changes(owner[order])
+    new[1:] |= low[order][1:] != high[order][:-1]
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(order)) - 1 if len(begin) else begin
+    return order[begin], low[order][begin], high[order][end]
+
+
+def _stretches(length: int, gram: int, hot: np.ndarray):
+    """key, g, doc_id, mark, low, high, done: the earliest stretches of a task by anchor, and its repeats (done)."""
+
+    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, g, no, doc, mark, low, high = (np.concatenate(x) for x in zip(*held))
+        lead, later = _earliest((h, g), (no, doc, mark, low))
+        _, owner = np.unique(np.stack([no.astype(np.int64), doc, mark.astype(np.int64)]), axis=1, return_inverse=True)
+        row, a, b = _runs(owner.ravel()[later], low[later], high[later])
+        row = later[row]
+        both = np.concatenate((lead, row))
+        columns = [
+            pa.array(np.concatenate((h[lead], g[row]))), pa.array(g[both]), _ids(no[both], doc[both]), pa.array(mark[both], pa.int32()),
+            pa.array(np.concatenate((low[lead], a))), pa.array(np.concatenate((high[lead], b))), pa.array(np.arange(len(both)) >= len(lead)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "g", "doc_id", "mark", "low", "high", "done"])
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for batch in batches:
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column("text")]
-            for raw, valid, text, offset in _chunks(texts, length):
+            no, doc, mark = _docs_of(batch)
+            for raw, valid, text, offset in _chunks(_texts(batch), length):
                 h, first, count = anchors(raw, valid, length, gram)
-                rows = pa.array(text[first])
-                columns = [pa.array(h), batch.column("doc_id").take(rows), batch.column("mark").take(rows), pa.array(offset[first]), pa.array(count.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "doc_id", "mark", "first", "count"])
+                if len(hot):
+                    cold = ~np.isin(h, hot)
+                    h, first, count = h[cold], first[cold], count[cold]
+                g = _hashes(raw, first, count + length - 1)
+                t = text[first]
+                held.append((h, g, no[t], doc[t], mark[t], offset[first], offset[first] + count))
+                size += len(h)
+                if size >= ANCHORS_PER_FLUSH:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
 
     return each
 
 
-def _stretch_rows(length: int):
+def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """PLACE of a shard's repeats (h null), and of the stretches whose bytes must be compared (h their anchor)."""
+    table = pa.Table.from_batches(list(batches)).combine_chunks()  # a shard is sized to be held
+    if not table.num_rows:
+        return
+    no, doc, mark = _docs_of(table)
+    done, key, g, low, high = (table.column(c).to_numpy() for c in ("done", "key", "g", "low", "high"))
+    heads = np.flatnonzero(~done)
+    lead, later = (heads[x] for x in _earliest((key[heads], g[heads]), (no[heads], doc[heads], mark[heads], low[heads])))
+    mixed = lead[:0]
+    if len(lead):
+        _, which, count = np.unique(key[lead], return_inverse=True, return_counts=True)
+        mixed = lead[count[which] > 1]
+    rows = np.concatenate((np.flatnonzero(done), later, mixed))
+    h = pa.array(key[rows], pa.int64(), mask=np.arange(len(rows)) < len(rows) - len(mixed))
+    yield pa.RecordBatch.from_arrays([_ids(no[rows], doc[rows]), pa.array(mark[rows], pa.int32()), h, pa.array(low[rows]), pa.array(high[rows])], names=["doc_id", "mark", "h", "low", "high"])
+
+
+def _bytes_of(length: int):
+    """h, doc_id, mark, low, stretch of the places that need comparing."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, mark, text, wanted in zip(*(batch.column(c) for c in ("doc_id", "mark", "text", "wanted"))):
-                raw, doc_id, mark = (text.as_py() or "").encode("utf-8", "surrogatepass"), doc_id.as_py(), mark.as_py()
-                for w in wanted.as_py():
-                    out.append((w["h"], w["hot"], doc_id, mark, w["first"], raw[w["first"] : w["first"] + w["count"] + length - 1]))
-            columns = list(zip(*out)) or [()] * 6
-            types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["h", "hot", "doc_id", "mark", "first", "stretch"])
+            rows, h, low, found = [], [], [], []
+            for i, (text, places) in enumerate(zip(_texts(batch), batch.column("places"))):
+                for p in places.as_py():
+                    if p["h"] is not None:
+                        rows.append(i)
+                        h.append(p["h"])
+                        low.append(p["low"])
+                        found.append(text[p["low"] : p["high"] + length - 1])
+            at = pa.array(rows, pa.int64())
+            columns = [pa.array(h, pa.int64()), batch.column("doc_id").take(at), batch.column("mark").take(at), pa.array(low, pa.int64()), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "doc_id", "mark", "low", "stretch"])
 
     return each
 
 
-def _repeated_rows(length: int):
-    """Of a shard's stretches: doc_id, mark, low, high of the string starts that are repeats."""
+def _compared(length: int):
+    """PLACE of the repeats among a shard's stretches, by its suffix array."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))  # a shard is sized to be held
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
         if not table.num_rows:
             return
-        doc_id = table.column("doc_id").to_pylist()
-        mark, first, h = (table.column(c).to_numpy() for c in ("mark", "first", "h"))
-        stretch = table.column("stretch").to_pylist()
-        place = lambda i: (doc_id[i] is None, doc_id[i] or 0, mark[i], first[i])
-        earliest: dict[tuple, int] = {}
-        for i, key in enumerate(zip(h.tolist(), stretch)):
-            j = earliest.setdefault(key, i)
-            if j != i and place(i) < place(j):
-                earliest[key] = i
-        low, high, who = [], [], []
-        variants: dict[int, list[int]] = {}
-        for (x, _), i in earliest.items():
-            variants.setdefault(x, []).append(i)
-        for i, key in enumerate(zip(h.tolist(), stretch)):
-            j = earliest[key]
-            if place(i) != place(j):
-                low.append(int(first[i]))
-                high.append(int(first[i]) + len(stretch[i]) - length + 1)
-                who.append(i)
-        mixed = [i for some in variants.values() if len(some) > 1 for i in some]
-        if mixed:
-            rank = {p: k for k, p in enumerate(sorted({place(i)[:3] for i in mixed}))}
-            order = np.array([rank[place(i)[:3]] for i in mixed])
-            text, offset, kind = suffixes.repeats([stretch[i] for i in mixed], length)
-            start = first[mixed][text] + offset
-            by = np.lexsort((start, order[text], kind))
-            # the first place of a class stays; so does that same place, if a stretch of the same document holds it too
-            new = np.concatenate(([True], kind[by][1:] != kind[by][:-1])) if len(by) else np.zeros(0, bool)
-            lead = by[np.flatnonzero(new)][np.cumsum(new) - 1]
-            repeat = (start[by] != start[lead]) | (order[text][by] != order[text][lead])
-            found = by[repeat]
-            run = np.lexsort((start[found], text[found]))
-            t, p = text[found][run], start[found][run]
-            new = np.concatenate(([True], (t[1:] != t[:-1]) | (p[1:] != p[:-1] + 1))) if len(t) else np.zeros(0, bool)
-            begin = np.flatnonzero(new)
-            end = np.append(begin[1:], len(t)) - 1 if len(t) else begin
-            low += p[begin].tolist()
-            high += (p[end] + 1).tolist()
-            who += [mixed[k] for k in t[begin]]
-        rows = pa.array(who, pa.int64())
-        columns = [table.column(c).combine_chunks().take(rows) for c in ("doc_id", "mark")] + [pa.array(low, pa.int64()), pa.array(high, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "low", "high"])
+        no, doc, mark = _docs_of(table)
+        text, offset, kind = suffixes.repeats(table.column("stretch").to_pylist(), length)
+        start = table.column("low").to_numpy()[text] + offset
+        _, later = _earliest((kind,), (no[text], doc[text], mark[text], start))
+        row, low, high = _runs(text[later], start[later], start[later] + 1)
+        row = text[later][row]
+        yield pa.RecordBatch.from_arrays([_ids(no[row], doc[row]), pa.array(mark[row], pa.int32()), pa.nulls(len(row), pa.int64()), pa.array(low), pa.array(high)], names=["doc_id", "mark", "h", "low", "high"])
+
+    return each
+
+
+def _hot_strings(length: int, gram: int, hot: np.ndarray):
+    """w, x (two hashes), doc_id, mark, low of every string of a hot anchor."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            no, doc, mark = _docs_of(batch)
+            for raw, valid, text, offset in _chunks(_texts(batch), length):
+                h, first, count = anchors(raw, valid, length, gram)
+                some = np.isin(h, hot)
+                h, first, count = h[some], first[some], count[some]
+                start = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+                t = text[start]
+                columns = [pa.array(_hashes(raw, start, length)), pa.array(np.repeat(h, count)), _ids(no[t], doc[t]), pa.array(mark[t], pa.int32()), pa.array(offset[start])]
+                yield pa.RecordBatch.from_arrays(columns, names=["w", "x", "doc_id", "mark", "low"])
 
     return each
 
 
+def _hot_anchors(texts: DataFrame, n_docs: int, length: int, gram: int, share: float, least: int) -> np.ndarray:
+    """The anchors that stand in a large part of a sample of documents: at most as many as fit into 1 / share texts."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw, valid, text, _ in _chunks(_texts(batch), length):
+                h, first, _ = anchors(raw, valid, length, gram)
+                pairs = np.unique(np.stack([h, text[first]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0])], names=["h"])
+
+    every = max(1, n_docs // SAMPLE)
+    some = texts.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(every)) == 0)
+    counted = some.mapInArrow(each, "h long").groupBy("h").count()
+    bound = max(least, share * n_docs / every)
+    return np.array([r.h for r in counted.where(F.col("count") > bound).collect()], np.int64)
+
+
 def _cut_rows(length: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, spans, kept = [], [], []
-            for text, runs in zip(batch.column("text"), batch.column("runs")):
+            for text, places in zip(batch.column("text"), batch.column("places")):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 merged: list[list[int]] = []
-                for low, high in sorted((r["low"], r["high"] + length - 1) for r in runs.as_py()):
+                for low, high in sorted((r["low"], r["high"] + length - 1) for r in places.as_py() if r["h"] is None):
                     if merged and low <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], high)
                     else:
@@ -207,60 +309,51 @@ def _cut_rows(length: int):
     return each
 
 
-RUNS = "doc_id long, mark long, low long, high long"
+def _same(a: DataFrame, d: str = "_d", m: str = "_m") -> Column:
+    return a["doc_id"].eqNullSafe(F.col(d)) & (a["mark"] == F.col(m))
+
+
+def _by_document(places: DataFrame, name: str) -> DataFrame:
+    grouped = places.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("h", "low", "high")).alias(name))
+    return grouped.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), name).hint("merge")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_share: float = HOT_SHARE, hot_least: int = HOT_LEAST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs (doc_id, text)."""
     raw = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    mark = F.xxhash64(raw, F.md5(raw.cast("binary")))
+    mark = F.hash(raw, F.lit(length))
     texts = docs.select(F.col("doc_id").cast("long"), raw.alias("text"), mark.alias("mark"))
     slim = cut(texts.select("doc_id", "mark", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
-    order = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"))
-    firsts = cut(slim.groupBy("mark").agg(F.min(order).alias("o"), F.count("*").alias("n")).select("mark", F.col("o.doc_id").alias("first_doc"), "n"))
-
-    # 1. anchors that stand in two texts, or at two places of one
-    found = texts.mapInArrow(_anchor_rows(length, gram), "h long, doc_id long, mark long, first long, count int")
-    counted = found.groupBy("h").agg(F.count("*").alias("m"), F.min("mark").alias("m0"), F.max("mark").alias("m1"), F.min("first").alias("f0"), F.max("first").alias("f1"))
-    counted = counted.where("m0 <> m1 or f0 <> f1").select("h", (F.col("m") > hot).alias("hot"))
-    shared = cut(found.join(counted.hint("merge"), "h"))
-    own = shared.join(firsts, "mark").where(F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("h", "hot", "doc_id", "mark", "first", "count").distinct()
-
-    # 2. their stretches, by shards of the hash
-    wanted = own.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("h", "hot", "first", "count")).alias("wanted"))
-    wanted = wanted.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "wanted")
-    part = cut(texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(F.col("_d")) & (texts["mark"] == F.col("_m"))).select("doc_id", "mark", "text", "wanted").dropDuplicates(["doc_id", "mark"]))
-    stretches = part.mapInArrow(_stretch_rows(length), "h long, hot boolean, doc_id long, mark long, first long, stretch binary")
-    size = shared.agg(F.sum(F.col("count") + length), F.max("hot")).first()
-    shards = max(1, (size[0] or 0) // SHARD_BYTES)
-    runs = stretches.where("not hot").drop("hot").repartition(int(shards), "h").mapInArrow(_repeated_rows(length), RUNS)
-    if size[1]:
-        runs = runs.unionByName(_hot_runs(stretches.where("hot").drop("hot"), length, int(shards)))
+    n_docs, n_bytes = slim.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    hot = _hot_anchors(texts, n_docs, length, gram, hot_share, hot_least)
+
+    # 1. stretches by hash
+    found = texts.mapInArrow(_stretches(length, gram, hot), "key long, g long, doc_id long, mark int, low long, high long, done boolean")
+    places = found.repartition(int(n_bytes // TEXT_PER_SHARD) + 1, "key").mapInArrow(_sorted_out, PLACE)
+    if len(hot):
+        places = places.unionByName(_hot_repeats(texts, length, gram, hot))
+    places = cut(places, free=True)
+
+    # 2. stretches by their bytes, where they differ
+    part = cut(texts.join(_by_document(places, "places"), _same(texts)).select("doc_id", "mark", "text", "places"), free=True)
+    size = places.where("h is not null").agg(F.coalesce(F.sum(F.col("high") - F.col("low") + length), F.lit(0))).first()[0]
+    stretches = part.where(F.exists("places", lambda p: p["h"].isNotNull())).mapInArrow(_bytes_of(length), "h long, doc_id long, mark int, low long, stretch binary")
+    more = cut(stretches.repartition(int(size // SHARD_BYTES) + 1, "h").mapInArrow(_compared(length), PLACE), free=True)
 
     # 3. what is left
-    by_doc = runs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    by_doc = by_doc.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "runs")
-    cuts = part.select("doc_id", "mark", "text").join(by_doc.hint("merge"), part["doc_id"].eqNullSafe(F.col("_d")) & (part["mark"] == F.col("_m"))).select("doc_id", "mark", "text", "runs")
-    cuts = cuts.mapInArrow(_cut_rows(length), "doc_id long, mark long, n_removed long, n_spans long, kept_sha256 string")
-    cuts = cuts.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "n_removed", "n_spans", "kept_sha256")
-    rows = slim.join(firsts, "mark").join(cuts.hint("merge"), slim["doc_id"].eqNullSafe(F.col("_d")) & (slim["mark"] == F.col("_m")), "left")
-    copy = ~F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("n_bytes") >= length)
-    none = hashlib.sha256(b"").hexdigest()
-    return rows.select(
-        "doc_id",
-        "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.lit(none)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-    )
-
-
-def _hot_runs(stretches: DataFrame, length: int, shards: int) -> DataFrame:
-    """As in step 2, but only the earliest of equal stretches go to the shard; the others are repeats throughout."""
-    place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark", "first")
-    held = cut(stretches)
-    least = cut(held.groupBy("h", "stretch").agg(F.min(place).alias("at")))
-    heads = least.select("h", "at.doc_id", "at.mark", "at.first", "stretch")
-    inside = heads.repartition(shards, "h").mapInArrow(_repeated_rows(length), RUNS)
-    rest = held.join(least, ["h", "stretch"]).where(~(place.eqNullSafe(F.col("at"))))
-    return inside.unionByName(rest.select("doc_id", "mark", F.col("first").alias("low"), (F.col("first") + F.octet_length("stretch") - length + 1).alias("high")))
+    both = part.join(_by_document(more, "more"), _same(part), "left")
+    joined = both.select("doc_id", "mark", "text", F.when(F.col("more").isNull(), F.col("places")).otherwise(F.concat("places", "more")).alias("places"))
+    cuts = joined.mapInArrow(_cut_rows(length), "doc_id long, mark int, n_removed long, n_spans long, kept_sha256 string")
+    cuts = cuts.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "n_removed", "n_spans", "kept_sha256").dropDuplicates(["_d", "_m"])
+    rows = slim.join(cuts.hint("merge"), _same(slim), "left")
+    zero = F.lit(0).cast("long")
+    return rows.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+
+
+def _hot_repeats(texts: DataFrame, length: int, gram: int, hot: np.ndarray) -> DataFrame:
+    """PLACE of the repeats among the strings of hot anchors. What tasks find is grouped before the shuffle."""
+    strings = cut(texts.mapInArrow(_hot_strings(length, gram, hot), "w long, x long, doc_id long, mark int, low long"))
+    place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark", "low")
+    first = strings.groupBy("w", "x").agg(F.min(place).alias("at"))
+    later = strings.join(first.hint("merge"), ["w", "x"]).where(~place.eqNullSafe(F.col("at")))
+    return later.select("doc_id", "mark", F.lit(None).cast("long").alias("h"), "low", (F.col("low") + 1).alias("high"))
