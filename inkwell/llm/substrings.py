@@ -11,9 +11,11 @@ equal anchors, and strings that start side by side mostly share one; the bytes u
 3. Documents with repeats are cut; all others are digested as they are.
 
 An anchor in a large part of all documents (say, in a short line that many hold) may have as many stretches as documents. Such
-anchors are looked for in a sample of SAMPLE documents; their strings are counted one by one by hash instead, which takes no shard. The
+anchors are looked for in a sample of SAMPLE documents; their strings then go each by itself, under its own hash. The
 sample decides only on the way, not on the result.
 
+Between tasks stretches travel as compressed columns, a packet for each task and shard.
+
 Defined cases: a null text is empty; rows equal in id and text are one document, listed so often; rows of one id with different texts are
 ordered by checksum; null ids come last; texts under `length` bytes keep all; an empty table gives no rows. Texts
 of any size are searched whole: anchors are found in chunks that overlap by length - 1 bytes.
@@ -153,21 +155,41 @@ def _runs(owner: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndar
     return order[begin], low[order][begin], high[order][end]
 
 
-def _stretches(length: int, gram: int, hot: np.ndarray):
-    """key, g, doc_id, mark, low, high, done: the earliest stretches of a task by anchor, and its repeats (done)."""
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers of 64 bits, compressed; sorted ones as differences."""
+    raw = b"".join(np.ascontiguousarray(c, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)  # byte by byte: alike next to alike
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(packet: bytes, columns: int) -> list[np.ndarray]:
+    size = int.from_bytes(packet[:8], "little")
+    raw = np.frombuffer(pa.decompress(packet[8:], size, "zstd", asbytes=True), np.uint8)
+    n = size // 8 // columns
+    return [raw[i * 8 * n : (i + 1) * 8 * n].reshape(8, n).T.copy().view(np.int64).ravel() for i in range(columns)]
+
+
+def _stretches(length: int, gram: int, hot: np.ndarray, shards: int):
+    """shard, packet: the earliest stretches of a task by anchor, and its repeats (of length 0 and no g)."""
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         h, g, no, doc, mark, low, high = (np.concatenate(x) for x in zip(*held))
         lead, later = _earliest((h, g), (no, doc, mark, low))
         _, owner = np.unique(np.stack([no.astype(np.int64), doc, mark.astype(np.int64)]), axis=1, return_inverse=True)
         row, a, b = _runs(owner.ravel()[later], low[later], high[later])
-        row = later[row]
-        both = np.concatenate((lead, row))
-        columns = [
-            pa.array(np.concatenate((h[lead], g[row]))), pa.array(g[both]), _ids(no[both], doc[both]), pa.array(mark[both], pa.int32()),
-            pa.array(np.concatenate((low[lead], a))), pa.array(np.concatenate((high[lead], b))), pa.array(np.arange(len(both)) >= len(lead)),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=["key", "g", "doc_id", "mark", "low", "high", "done"])
+        both = np.concatenate((lead, later[row]))
+        done = np.arange(len(both)) >= len(lead)
+        key = np.where(done, g[both], h[both])
+        low, high = np.concatenate((low[lead], a)), np.concatenate((high[lead], b))
+        shard = (key.view(np.uint64) % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((low, mark[both], doc[both], shard))
+        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        packets = []
+        for s, (x, y) in enumerate(zip(cuts, cuts[1:])):
+            if x < y:
+                r = order[x:y]
+                d = doc[both][r]
+                packets.append((s, _pack(np.where(done[r], 0, key[r]), np.where(done[r], 0, g[both][r]), np.diff(d, prepend=0), mark[both][r].astype(np.int64), low[r], (high[r] - low[r]) << 2 | done[r].astype(np.int64) << 1 | no[both][r])))
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in packets], pa.int32()), pa.array([p for _, p in packets], pa.binary())], names=["shard", "packet"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -176,10 +198,14 @@ def _stretches(length: int, gram: int, hot: np.ndarray):
             no, doc, mark = _docs_of(batch)
             for raw, valid, text, offset in _chunks(_texts(batch), length):
                 h, first, count = anchors(raw, valid, length, gram)
-                if len(hot):
-                    cold = ~np.isin(h, hot)
-                    h, first, count = h[cold], first[cold], count[cold]
-                g = _hashes(raw, first, count + length - 1)
+                is_hot = np.isin(h, hot) if len(hot) else np.zeros(len(h), bool)
+                g = np.empty(len(h), np.int64)
+                g[~is_hot] = _hashes(raw, first[~is_hot], count[~is_hot] + length - 1)
+                if is_hot.any():  # a hot anchor's strings go each under its own hash
+                    n = count[is_hot]
+                    start = np.repeat(first[is_hot] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    h, g = np.concatenate((h[~is_hot], _hashes(raw, start, length))), np.concatenate((g[~is_hot], np.repeat(h[is_hot], n)))
+                    first, count = np.concatenate((first[~is_hot], start)), np.concatenate((count[~is_hot], np.ones(len(start), np.int64)))
                 t = text[first]
                 held.append((h, g, no[t], doc[t], mark[t], offset[first], offset[first] + count))
                 size += len(h)
@@ -193,21 +219,25 @@ def _stretches(length: int, gram: int, hot: np.ndarray):
 
 
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """PLACE of a shard's repeats (h null), and of the stretches whose bytes must be compared (h their anchor)."""
-    table = pa.Table.from_batches(list(batches)).combine_chunks()  # a shard is sized to be held
-    if not table.num_rows:
-        return
-    no, doc, mark = _docs_of(table)
-    done, key, g, low, high = (table.column(c).to_numpy() for c in ("done", "key", "g", "low", "high"))
-    heads = np.flatnonzero(~done)
-    lead, later = (heads[x] for x in _earliest((key[heads], g[heads]), (no[heads], doc[heads], mark[heads], low[heads])))
-    mixed = lead[:0]
-    if len(lead):
+    """PLACE of each shard's repeats (h null), and of the stretches whose bytes must be compared (h their anchor)."""
+    by_shard: dict[int, list[list[np.ndarray]]] = {}  # a shard is sized to be held
+    for batch in batches:
+        for shard, packet in zip(batch.column("shard").to_pylist(), batch.column("packet")):
+            by_shard.setdefault(shard, []).append(_unpack(packet.as_py(), 6))
+    for shard in sorted(by_shard):
+        key, g, doc, mark, low, rest = (np.concatenate(x) for x in zip(*[(p[0], p[1], np.cumsum(p[2]), *p[3:]) for p in by_shard.pop(shard)]))
+        high, done, no = low + (rest >> 2), (rest & 2) > 0, (rest & 1) > 0
+        heads = np.flatnonzero(~done)
+        lead, later = (heads[x] for x in _earliest((key[heads], g[heads]), (no[heads], doc[heads], mark[heads], low[heads])))
         _, which, count = np.unique(key[lead], return_inverse=True, return_counts=True)
-        mixed = lead[count[which] > 1]
-    rows = np.concatenate((np.flatnonzero(done), later, mixed))
-    h = pa.array(key[rows], pa.int64(), mask=np.arange(len(rows)) < len(rows) - len(mixed))
-    yield pa.RecordBatch.from_arrays([_ids(no[rows], doc[rows]), pa.array(mark[rows], pa.int32()), h, pa.array(low[rows]), pa.array(high[rows])], names=["doc_id", "mark", "h", "low", "high"])
+        mixed = lead[count[which] > 1] if len(lead) else lead
+        _, owner = np.unique(np.stack([no.astype(np.int64), doc, mark]), axis=1, return_inverse=True)
+        same = np.concatenate((np.flatnonzero(done), later))
+        row, a, b = _runs(owner.ravel()[same], low[same], high[same])
+        rows = np.concatenate((same[row], mixed))
+        h = pa.array(key[rows], pa.int64(), mask=np.arange(len(rows)) < len(row))
+        columns = [_ids(no[rows], doc[rows]), pa.array(mark[rows], pa.int32()), h, pa.array(np.concatenate((a, low[mixed]))), pa.array(np.concatenate((b, high[mixed])))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "h", "low", "high"])
 
 
 def _bytes_of(length: int):
@@ -248,24 +278,6 @@ def _compared(length: int):
     return each
 
 
-def _hot_strings(length: int, gram: int, hot: np.ndarray):
-    """w, x (two hashes), doc_id, mark, low of every string of a hot anchor."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            no, doc, mark = _docs_of(batch)
-            for raw, valid, text, offset in _chunks(_texts(batch), length):
-                h, first, count = anchors(raw, valid, length, gram)
-                some = np.isin(h, hot)
-                h, first, count = h[some], first[some], count[some]
-                start = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-                t = text[start]
-                columns = [pa.array(_hashes(raw, start, length)), pa.array(np.repeat(h, count)), _ids(no[t], doc[t]), pa.array(mark[t], pa.int32()), pa.array(offset[start])]
-                yield pa.RecordBatch.from_arrays(columns, names=["w", "x", "doc_id", "mark", "low"])
-
-    return each
-
-
 def _hot_anchors(texts: DataFrame, n_docs: int, length: int, gram: int, share: float, least: int) -> np.ndarray:
     """The anchors that stand in a large part of a sample of documents: at most as many as fit into 1 / share texts."""
 
@@ -328,11 +340,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     hot = _hot_anchors(texts, n_docs, length, gram, hot_share, hot_least)
 
     # 1. stretches by hash
-    found = texts.mapInArrow(_stretches(length, gram, hot), "key long, g long, doc_id long, mark int, low long, high long, done boolean")
-    places = found.repartition(int(n_bytes // TEXT_PER_SHARD) + 1, "key").mapInArrow(_sorted_out, PLACE)
-    if len(hot):
-        places = places.unionByName(_hot_repeats(texts, length, gram, hot))
-    places = cut(places, free=True)
+    shards = int(n_bytes // TEXT_PER_SHARD) + 1
+    found = texts.mapInArrow(_stretches(length, gram, hot, shards), "shard int, packet binary")
+    places = cut(found.repartitionById(shards, "shard").mapInArrow(_sorted_out, PLACE), free=True)
 
     # 2. stretches by their bytes, where they differ
     part = cut(texts.join(_by_document(places, "places"), _same(texts)).select("doc_id", "mark", "text", "places"), free=True)
@@ -348,12 +358,3 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     rows = slim.join(cuts.hint("merge"), _same(slim), "left")
     zero = F.lit(0).cast("long")
     return rows.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
-
-
-def _hot_repeats(texts: DataFrame, length: int, gram: int, hot: np.ndarray) -> DataFrame:
-    """PLACE of the repeats among the strings of hot anchors. What tasks find is grouped before the shuffle."""
-    strings = cut(texts.mapInArrow(_hot_strings(length, gram, hot), "w long, x long, doc_id long, mark int, low long"))
-    place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark", "low")
-    first = strings.groupBy("w", "x").agg(F.min(place).alias("at"))
-    later = strings.join(first.hint("merge"), ["w", "x"]).where(~place.eqNullSafe(F.col("at")))
-    return later.select("doc_id", "mark", F.lit(None).cast("long").alias("h"), "low", (F.col("low") + 1).alias("high"))

@@ -38,7 +38,7 @@ def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, ends: np.ndarra
     """The suffix array that follows from the seeds, leftmost S suffixes in their order. ends: of the buckets."""
     n, sigma = len(s), len(ends)
     heads = np.concatenate(([0], ends[:-1]))
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32 if n < 1 << 31 else np.int64)
     tails = ends - 1
     _place(sa, tails.copy(), seeds[::-1], s[seeds[::-1]], -1)
     seeded = np.bincount(s[seeds], minlength=sigma)
@@ -77,20 +77,32 @@ def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, ends: np.ndarra
 
 
 def _ranked(names: np.ndarray) -> np.ndarray:
-    """Suffix array of a string over a large alphabet, by doubling of the compared length."""
+    """Suffix array of a string over a large alphabet, by doubling of the compared length; what is told apart rests."""
     n = len(names)
-    rank, k = names.astype(np.int64), 1
+    order = np.argsort(names, kind="stable")
+    rank = np.empty(n, np.int64)  # the place of the first of those that are alike so far
+    new = np.ones(n, bool)
+    new[1:] = names[order][1:] != names[order][:-1]
+    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    k = 1
     while True:
-        second = np.zeros(n, np.int64)
-        second[: n - k] = rank[k:] + 1
-        key = rank * np.int64(n + 2) + second
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
-        rank, k = new, 2 * k
-        if k >= n or rank[order[-1]] == n - 1:
+        single = new.copy()
+        single[:-1] &= new[1:]
+        at = np.flatnonzero(~single)  # places that aren't settled
+        if not len(at):
             return order
+        who = order[at]
+        ahead = who + k
+        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        key = rank[who] * np.int64(n + 2) + second
+        by = np.argsort(key)
+        key, who = key[by], who[by]
+        order[at] = who
+        differ = np.ones(len(at), bool)
+        differ[1:] = key[1:] != key[:-1]
+        new[at] = differ
+        rank[who] = at[np.flatnonzero(differ)][np.cumsum(differ) - 1]
+        k *= 2
 
 
 def suffix_array(s: np.ndarray, sigma: int, direct: int = 4096) -> np.ndarray:
@@ -98,9 +110,9 @@ def suffix_array(s: np.ndarray, sigma: int, direct: int = 4096) -> np.ndarray:
     n = len(s)
     if n < 3:
         return np.argsort(s, kind="stable") if n < 2 or s[0] != s[1] else np.arange(n)[::-1]
-    s = s.astype(np.int64)
     if sigma > direct:
         return _ranked(s)
+    s = s.astype(np.uint16)  # numpy sorts numbers of 16 bits by radix
     small = _types(s)
     left = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     ends = np.cumsum(np.bincount(s, minlength=sigma))
@@ -147,7 +159,7 @@ def repeats(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     begins = np.cumsum(sizes) - sizes
     raw = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)  # no UTF-8 text holds that byte
-    s = np.empty(len(raw) + 1, np.int64)
+    s = np.empty(len(raw) + 1, np.uint16)
     s[:-1] = raw
     s[:-1] += 2
     s[:-1][begins + sizes - 1] = 1
