@@ -37,7 +37,7 @@ ROWS = 4096
 def whole_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and v, the components as whole numbers in doubles, of the rows that take part."""
     good = "embedding is not null and vec_id is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(double(x)) < double('infinity'))"
-    return vectors.where(good).select(F.col("vec_id").cast("long"), F.expr(f"transform(embedding, x -> floor({scale} * double(x), 0))").cast("array<double>").alias("v"))
+    return vectors.where(good).select(F.col("vec_id").cast("long"), F.expr(f"transform(embedding, x -> CASE WHEN abs({scale} * double(x)) < {EXACT} THEN double(floor({scale} * double(x))) ELSE {scale} * double(x) END)").alias("v"))
 
 
 def statistics(x: np.ndarray, parts: int) -> np.ndarray:
