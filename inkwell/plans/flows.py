@@ -27,6 +27,23 @@ def feed_lines_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.feed_list(values(spark, "value string", *[(x,) for x in (*_FEEDS, None)]))
 
 
+_RSS = "<rss><channel><link>https://a.com</link><item><link>https://a.com/1</link></item><item><link> https://a.com/2 </link></item><item><title>none</title></item></channel></rss>"
+_ATOM = '<feed xmlns="http://www.w3.org/2005/Atom"><link href="https://b.com"/><entry><link rel="edit" href="https://b.com/e"/><link href="https://b.com/1"/></entry></feed>'
+_LINKLESS = "<rss><channel><item><link>https://c.com/1</link></item></channel></rss>"
+
+
+@query("feed_entries", "SELECT * FROM (VALUES ('a', 'https://a.com/1'), ('a', 'https://a.com/2'), ('b', 'https://b.com/1')) t(feed_url, url)")
+def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.feed_entries(values(spark, "feed_url string, xml string", ("a", _RSS), ("b", _ATOM), ("c", _LINKLESS), ("d", "<broken"), ("e", None)))
+
+
+@query("candidate_urls", f"""SELECT DISTINCT CAST(page_id % 10 AS VARCHAR) AS feed_url, u AS url FROM (SELECT page_id, {CLEAN} AS u FROM pages)
+WHERE u IS NOT NULL AND regexp_matches(lower(regexp_extract(u, '^https?://([^/?#]+)', 1)), '{U.VALID_HOST}')
+ AND NOT (regexp_matches(u, '{U.LOCAL}') OR regexp_matches(u, '{U.SECTION}') OR regexp_matches(u, '{U.LISTING}') OR regexp_matches(u, '{U.BARE}'))""")
+def candidate_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.candidates(read(spark, sf_dir, "pages").select((F.col("page_id") % 10).cast("string").alias("feed_url"), "url"))
+
+
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").where("page_id % 2 = 0").select("url")
 
@@ -85,6 +102,16 @@ def message_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sent.select("host", F.posexplode(F.from_json("message", "urls array<string>")["urls"]).alias("n", "url"))
 
 
+@query("queue_depth", f"SELECT count(DISTINCT host) AS messages, count(*) AS urls, CAST(min(n) AS BIGINT) AS fewest FROM (SELECT host, count(*) OVER (PARTITION BY host) AS n FROM (SELECT {_HOST} AS host FROM pages))")
+def queue_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages written to a queue and read back."""
+    path = _folder(spark).root
+    queue.purge(spark, path)
+    queue.send(queue.messages(_by_host(spark, sf_dir), "host"), path)
+    n = F.size("urls")
+    return queue.receive(spark, path).agg(F.count("*").alias("messages"), F.sum(n).alias("urls"), F.min(n).cast("long").alias("fewest"))
+
+
 _RULES = (("/fr/", False), ("/fr/1", True), ("/en/9", False))
 
 

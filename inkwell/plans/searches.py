@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import query as Q
 from ..functions import urls as U
 from ..operators import index, rank, search
+from ..sources.store import Store
 from .registry import query, read, values
 
 RARE, COMMON = ["esat", "the"], ["the", "and"]
@@ -81,6 +84,25 @@ def bm25_min_score_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir, COMMON).where(F.col("score") >= search.MIN_SCORE).agg(total.alias("total"), F.floor((total + 5) / 6).alias("total_pages"))
 
 
+_SHAPED = r"""SELECT id, title, 'https://s' || (id % 5) || '.example.com/' || id AS url, CASE WHEN len(w) <= 300 THEN text ELSE array_to_string(w[1:300], ' ') || '...' END AS text
+FROM (SELECT hits.id, score, title, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM hits JOIN posts ON hits.id = posts.id
+WHERE score >= 1.0 AND contains('https://s' || (hits.id % 5) || '.example.com/' || hits.id || '/', 's1.example.com') ORDER BY score DESC, hits.id LIMIT 6)"""
+
+
+@query("engine_keyword_page", _bm25_sql(["on", "thea"]) + " " + _SHAPED.replace("SELECT id, title,", "SELECT title,"))
+def engine_keyword_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of results from index tables that are built for it, with a site filter."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkwell-")
+    store = Store(spark, Store(spark, root).scratch())
+    url = F.concat(F.lit("https://s"), (F.col("id") % 5).cast("string"), F.lit(".example.com/"), F.col("id").cast("string"), F.lit("/"))
+    none = F.lit(None).cast("string")
+    pages = _posts(spark, sf_dir).select("id", "title", url.alias("url"), none.alias("fingerprint"), F.lit(None).cast("date").alias("date"), "text", F.lit(None).cast("timestamp").alias("scraped_on_date"))
+    store.overwrite("pages", pages)
+    engine = search.Engine(store)
+    engine.reindex()
+    return engine.keyword("on thea site:s1.example.com").results.select("title", "url", "text")
+
+
 @query("empty_query", "SELECT '' AS title, '' AS url, DATE '2000-01-01' AS date, '' AS text WHERE false")
 def empty_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([], search.ROW)
