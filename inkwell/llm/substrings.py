@@ -145,10 +145,10 @@ def _earliest(group: tuple, place: tuple) -> tuple[np.ndarray, np.ndarray]:
     return order[new], order[later]
 
 
-def _runs(owner: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, low, high) of the stretches of string starts, those that adjoin in one document joined."""
-    order = np.lexsort((low, owner))
-    new = _changes(owner[order])
+def _runs(owner: tuple, rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, low, high) of the given rows' stretches of string starts, those that adjoin in one document joined."""
+    order = rows[np.lexsort((low[rows], *[k[rows] for k in owner[::-1]]))]
+    new = _changes(*[k[order] for k in owner])
     new[1:] |= low[order][1:] != high[order][:-1]
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(order)) - 1 if len(begin) else begin
@@ -174,9 +174,8 @@ def _stretches(length: int, gram: int, hot: np.ndarray, shards: int):
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         h, g, no, doc, mark, low, high = (np.concatenate(x) for x in zip(*held))
         lead, later = _earliest((h, g), (no, doc, mark, low))
-        _, owner = np.unique(np.stack([no.astype(np.int64), doc, mark.astype(np.int64)]), axis=1, return_inverse=True)
-        row, a, b = _runs(owner.ravel()[later], low[later], high[later])
-        both = np.concatenate((lead, later[row]))
+        row, a, b = _runs((no, doc, mark), later, low, high)
+        both = np.concatenate((lead, row))
         done = np.arange(len(both)) >= len(lead)
         key = np.where(done, g[both], h[both])
         low, high = np.concatenate((low[lead], a)), np.concatenate((high[lead], b))
@@ -231,10 +230,8 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, later = (heads[x] for x in _earliest((key[heads], g[heads]), (no[heads], doc[heads], mark[heads], low[heads])))
         _, which, count = np.unique(key[lead], return_inverse=True, return_counts=True)
         mixed = lead[count[which] > 1] if len(lead) else lead
-        _, owner = np.unique(np.stack([no.astype(np.int64), doc, mark]), axis=1, return_inverse=True)
-        same = np.concatenate((np.flatnonzero(done), later))
-        row, a, b = _runs(owner.ravel()[same], low[same], high[same])
-        rows = np.concatenate((same[row], mixed))
+        row, a, b = _runs((no, doc, mark), np.concatenate((np.flatnonzero(done), later)), low, high)
+        rows = np.concatenate((row, mixed))
         h = pa.array(key[rows], pa.int64(), mask=np.arange(len(rows)) < len(row))
         columns = [_ids(no[rows], doc[rows]), pa.array(mark[rows], pa.int32()), h, pa.array(np.concatenate((a, low[mixed]))), pa.array(np.concatenate((b, high[mixed])))]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "h", "low", "high"])
@@ -264,15 +261,16 @@ def _compared(length: int):
     """PLACE of the repeats among a shard's stretches, by its suffix array."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).combine_chunks()
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held).combine_chunks()
         no, doc, mark = _docs_of(table)
         text, offset, kind = suffixes.repeats(table.column("stretch").to_pylist(), length)
         start = table.column("low").to_numpy()[text] + offset
         _, later = _earliest((kind,), (no[text], doc[text], mark[text], start))
-        row, low, high = _runs(text[later], start[later], start[later] + 1)
-        row = text[later][row]
+        row, low, high = _runs((text,), later, start, start + 1)
+        row = text[row]
         yield pa.RecordBatch.from_arrays([_ids(no[row], doc[row]), pa.array(mark[row], pa.int32()), pa.nulls(len(row), pa.int64()), pa.array(low), pa.array(high)], names=["doc_id", "mark", "h", "low", "high"])
 
     return each
