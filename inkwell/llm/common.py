@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import tempfile
 import uuid
@@ -21,21 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="inkwell-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
 
 
-def cut(df: DataFrame, free: bool = False) -> DataFrame:
+@functools.cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="inkwell-")
+
+
+def cut(df: DataFrame, free: bool = False, small: bool = False) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, and lost executors cost nothing.
 
+    small: few rows are left of many, so they are moved together first and not written as a file for each task.
     The shuffle files it took are deleted once the driver collects its garbage; free has it do so now.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkwell-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if small else df).write.parquet(path)
     if free:
         gc.collect()
         spark.sparkContext._jvm.System.gc()

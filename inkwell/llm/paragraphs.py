@@ -148,30 +148,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
 
 
 def duplicate_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, alike: float = ALIKE) -> DataFrame:
-    """doc_id, line, words, class_id, first_doc, removed: every paragraph of every class of two places or more."""
+    """doc_id, line, words, first_doc, first_line, removed: every paragraph of every class of two places or more.
+
+    A class is named by its first place, first_doc and first_line.
+    """
     found = cut(places(docs, least))
     variants = found.where("bands is not null").groupBy("id").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"))
     number = lambda i: F.conv(F.hex(F.substring("bands", 4 * i + 1, 4)), 16, 10).cast("long") + F.lit(i << 32)
     rows = variants.select("id", "n", F.explode(F.array(*[number(i) for i in range(BANDS)])).alias("key"))
     bucket = Window.partitionBy("key")
     rows = rows.select("id", "n", "key", F.count("*").over(bucket).alias("m"), F.min("id").over(bucket).alias("hub")).where("m > 1").drop("m")
-    shared = cut(rows)
+    shared = cut(rows, small=True)
     fits = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(alike) - 1e-9
     sizes = shared.select(F.col("id").alias("a"), F.col("n").alias("na")).distinct()
     stars = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "n").distinct().join(sizes, "a").where(fits(F.col("na"), F.col("n"))).select("a", "b")
     owner = found.join(shared.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "line")).alias("at"))
     sets = cut(_sets_of(owner.select("id", "at.doc_id", "at.line"), docs))
-    links = cut(_verified(stars, sets, alike))
+    links = cut(_verified(stars, sets, alike), small=True)
     roots = cut(components(links, "a", "b"))
     named = shared.join(roots, shared["id"] == roots["node"], "left").select("id", "n", "key", F.coalesce("root", "id").alias("root"))
     across = Window.partitionBy("key")
-    mixed = cut(named.withColumn("lo", F.min("root").over(across)).withColumn("hi", F.max("root").over(across)).where("lo <> hi").drop("lo", "hi"))
+    mixed = cut(named.withColumn("lo", F.min("root").over(across)).withColumn("hi", F.max("root").over(across)).where("lo <> hi").drop("lo", "hi"), small=True)
     left, right = mixed.toDF("a", "na", "key", "ra"), mixed.toDF("b", "nb", "key", "rb")
     rest = left.join(right, "key").where((F.col("ra") < F.col("rb")) & fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
     more = _verified(rest, sets, alike)
-    classes = cut(components(cut(links.unionByName(more)), "a", "b"))
+    classes = cut(components(cut(links.unionByName(more), small=True), "a", "b"))
     placed = found.join(classes, found["id"] == classes["node"], "left").select("doc_id", "line", "words", F.coalesce("root", "id").alias("class_id"))
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "line")
     heads = placed.groupBy("class_id").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo <> hi").select("class_id", "lo")
     same = F.col("doc_id").eqNullSafe(F.col("lo.doc_id")) & (F.col("line") == F.col("lo.line"))
-    return placed.join(heads, "class_id").select("doc_id", "line", "words", "class_id", F.col("lo.doc_id").alias("first_doc"), (~same).alias("removed"))
+    return placed.join(heads, "class_id").select("doc_id", "line", "words", F.col("lo.doc_id").alias("first_doc"), F.col("lo.line").alias("first_line"), (~same).alias("removed"))
