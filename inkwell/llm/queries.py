@@ -62,5 +62,38 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-#: The others can't be expressed in SQL, or not on whole tables; tests hold each against a brute-force version.
-ORACLES: dict[str, str] = {"op7_licence_scans": licences.oracle_sql()}
+OP2_SQL = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+#: md5_number names a string of 100 bytes here.
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, unnest(list_transform(range(0, length(x) // 2 - 99), lambda i: md5_number(substr(x, 2 * i + 1, 200)))) AS m, unnest(range(0, length(x) // 2 - 99)) AS pos FROM d WHERE length(x) >= 200),
+s AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY m ORDER BY doc_id, pos) > 1 AS again FROM w),
+r AS (SELECT doc_id, pos, pos + 100 AS upto, max(pos + 100) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s WHERE again),
+i AS (SELECT doc_id, pos, upto, count(*) FILTER (before IS NULL OR pos > before) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM r),
+runs AS (SELECT doc_id, min(pos) AS low, max(upto) AS high FROM i GROUP BY doc_id, span),
+kept AS (SELECT doc_id, high AS low, lead(low) OVER (PARTITION BY doc_id ORDER BY low) AS high FROM (SELECT doc_id, low, high FROM runs UNION ALL SELECT doc_id, -1, 0 FROM d)),
+texts AS (SELECT doc_id, string_agg(substr(x, 2 * low + 1, 2 * (coalesce(high, length(x) // 2) - low)), '' ORDER BY low) AS y FROM kept JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce((SELECT sum(high - low) FROM runs WHERE runs.doc_id = d.doc_id), 0)::BIGINT AS n_removed,
+ (SELECT count(*) FROM runs WHERE runs.doc_id = d.doc_id) AS n_spans, sha256(unhex(y)) AS kept_sha256 FROM d JOIN texts USING (doc_id)"""
+
+#: Exact, where the operator finds its candidates by bands.
+OP9_SQL = r"""
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+p AS (SELECT doc_id, line, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM l),
+g AS (SELECT doc_id, line, len(w) AS words, list_sort(list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM p WHERE len(w) >= 15),
+v AS (SELECT s, row_number() OVER (ORDER BY s) AS id FROM (SELECT DISTINCT s FROM g)),
+m AS (SELECT id, len(s) AS n, unnest(s) AS x FROM v),
+e AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON a.x = b.x AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+c(id, root) AS (SELECT id, id FROM v UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.id),
+k AS (SELECT id, min(root) AS root FROM c GROUP BY id),
+f AS (SELECT doc_id, line, words, root, first_value({'d': doc_id, 'l': line}) OVER (PARTITION BY root ORDER BY doc_id, line) AS f, count(*) OVER (PARTITION BY root) AS n FROM g JOIN v USING (s) JOIN k USING (id))
+SELECT doc_id, line::INT AS line, words::INT AS words, f.d AS first_doc, f.l::INT AS first_line, doc_id <> f.d OR line <> f.l AS removed FROM f WHERE n > 1"""
+
+#: The others can't be expressed in SQL (DuckDB has neither CRC-32 nor XXH64, no edit distance to a part of a text, no seeded draws); tests hold each
+#: against a brute-force version.
+ORACLES: dict[str, str] = {"op2_topk_search": OP2_SQL, "op6_suffix_array_dedup": OP6_SQL, "op7_licence_scans": licences.oracle_sql(), "op9_substring_dedup": OP9_SQL}
