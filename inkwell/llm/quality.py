@@ -11,7 +11,7 @@ SAMPLE with the smallest hash of their id are learnt from (all, if fewer), so th
 documents are scored whole.
 
 Defined cases: null and empty texts are scored like any (their features are zero); a null id is held out; labels that are null
-are no labels, and repeated ones each count; without labels, or with those of one class, every score is the share of label 1
+are no labels, repeated ones count once, and an id that bears many texts gives one; without labels, or with those of one class, every score is the share of label 1
 (a half without any); only doc_id, text and the columns doc_id, quality of the labels are read.
 """
 
@@ -205,16 +205,17 @@ def held_out(doc_id: Column) -> Column:
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [features(x.as_py()) for x in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("quality")], names=["x", "quality"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.float64())), batch.column("quality")], names=["doc_id", "x", "quality"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model learnt from at most sample labelled rows that aren't held out."""
+    """The model learnt from at most sample labelled rows that aren't held out; of the texts of one id, from one."""
     chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = chosen.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    chosen = chosen.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")  # at most sample rows of two numbers
-    found = rows.mapInArrow(_measured, "x array<double>, quality int").toArrow()
+    measured = rows.mapInArrow(_measured, "doc_id long, x array<double>, quality int").groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
+    found = measured.toArrow()
     x = np.array(found.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     y = found.column("quality").to_numpy().astype(np.float64)
     order = np.lexsort((y, *x.T))  # one order, however the rows arrive
