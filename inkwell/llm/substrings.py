@@ -39,10 +39,10 @@ GRAM = 32
 SAMPLE = 20_000
 #: An anchor is hot if it stands in more than this share of the sample, and in HOT_LEAST documents of it at least.
 HOT_SHARE, HOT_LEAST = 0.005, 200
-CHUNK = 4 << 20
-ANCHORS_PER_FLUSH = 1 << 19
-SHARD_BYTES = 4 << 20
-TEXT_PER_SHARD = 12 << 20
+CHUNK = 1 << 20
+ANCHORS_PER_FLUSH = 1 << 18
+SHARD_BYTES = 2 << 20
+TEXT_PER_SHARD = 8 << 20
 POSITION = 24
 PLACE = "doc_id long, mark int, h long, low long, high long"
 
@@ -333,7 +333,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     raw = F.coalesce(F.col("text").cast("string"), F.lit(""))
     mark = F.hash(raw, F.lit(length))
     texts = docs.select(F.col("doc_id").cast("long"), raw.alias("text"), mark.alias("mark"))
-    slim = cut(texts.select("doc_id", "mark", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
+    slim = cut(texts.select("doc_id", "mark", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), small=True)
     n_docs, n_bytes = slim.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     hot = _hot_anchors(texts, n_docs, length, gram, hot_share, hot_least)
 
@@ -346,7 +346,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     part = cut(texts.join(_by_document(places, "places"), _same(texts)).select("doc_id", "mark", "text", "places"), free=True)
     size = places.where("h is not null").agg(F.coalesce(F.sum(F.col("high") - F.col("low") + length), F.lit(0))).first()[0]
     stretches = part.where(F.exists("places", lambda p: p["h"].isNotNull())).mapInArrow(_bytes_of(length), "h long, doc_id long, mark int, low long, stretch binary")
-    more = cut(stretches.repartition(int(size // SHARD_BYTES) + 1, "h").mapInArrow(_compared(length), PLACE), free=True)
+    more = cut(stretches.repartition(int(size // SHARD_BYTES) + 1, "h").mapInArrow(_compared(length), PLACE), free=True, small=True)
 
     # 3. what is left
     both = part.join(_by_document(more, "more"), _same(part), "left")
