@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,13 +12,15 @@ from pyspark.sql import functions as F
 from . import text as T
 
 SITE = r'(?i)\bsite:([^\s"]+)'
+#: What isn't part of a domain.
+ODD = r"[^\w.-]+"
 PHRASE = r'"([^"]+)"'
 
 
 def sites(query: Column) -> Column:
     """Domains of the site: terms, of letters, digits, dot, dash and underscore; empty ones dropped."""
     found = F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(SITE), F.lit(1))
-    return F.filter(F.transform(found, lambda d: F.regexp_replace(d, r"[^a-zA-Z0-9.\-_]", "")), lambda d: d != "")
+    return F.filter(F.transform(found, lambda d: F.regexp_replace(d, ODD, "")), lambda d: d != "")
 
 
 def without_sites(query: Column) -> Column:
@@ -33,13 +36,18 @@ def clean(query: Column) -> Column:
     return T.normal_space(without_sites(query))
 
 
-def parse(query: str | None) -> tuple[str, list[str], list[str]]:
+class Parsed(NamedTuple):
+    clean: str
+    sites: list[str]
+    phrases: list[str]
+
+
+def parse(query: str | None) -> Parsed:
     """(clean, sites, phrases) of one query on the driver; the columns above say the same."""
-    if not query or not query.strip():
-        return "", [], []
-    found = [re.sub(r"[^a-zA-Z0-9.\-_]", "", d) for d in re.findall(SITE, query)]
+    query = query or ""
+    found = [re.sub(ODD, "", d, flags=re.A) for d in re.findall(SITE, query)]
     rest = re.sub(SITE, "", query)
-    return " ".join(rest.split()), [d for d in found if d], re.findall(PHRASE, rest)
+    return Parsed(" ".join(rest.split()), [d for d in found if d], re.findall(PHRASE, rest))
 
 
 @dataclass(frozen=True)

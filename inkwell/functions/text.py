@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 SPACES = r"(?U)\s+"
 TOKEN = r"[\p{L}\p{N}]+"
-SENTENCE_END = r"(?U)(?<=[.!?])\s+|\n\n+"
+SENTENCE_END = r"(?U)(?<=[!.?])\s+|\n{2,}"
 UNTITLED = "Untitled"
 NO_DESCRIPTION = "No description available"
 

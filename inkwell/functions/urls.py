@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 WHOLE = r"^\s*([hH][tT][tT][pP][sS]?)://([^/?#\s]+)([^?#\s]*)(?:\?([^#\s]*))?(?:#\S*)?\s*$"
 TRACKING = r"^(utm_[a-z]+|fbclid|gclid|mc_cid|mc_eid)(=|$)"
 LOCAL = r"(?i)^https?://(localhost|0\.0\.0\.0|youtube.com)"
-SECTION = r"(?i)^.*/(about|links|tags|categories|archive|comic|contact)(/.*)?$"
-LISTING = r"(?i)^.*/(author|tag|category)/[^/]+(/.*)?$"
-BARE = r"(?i)^.*/(tag|category)(/.*)?$"
+#: Words that make an address a page about the site, as a whole part of its path.
+SECTIONS = "|".join(sorted(("tags", "links", "comic", "about", "archive", "contact", "categories")))
+SECTION = rf"(?i)/({SECTIONS})(/|$)"
+LISTING = r"(?i)/(?:category|author|tag)/[^/]"
+BARE = r"(?i)/(?:category|tag)(/|$)"
 VALID_HOST = r"^([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)*[a-z0-9]([a-z0-9-]*[a-z0-9])?(:[0-9]+)?$"
 
 
 def stripped(url: Column) -> Column:
     """Without scheme, www., query and trailing slashes; case and fragment stay."""
-    bare = F.regexp_replace(url, r"^(https?://)?(www\.)?", "")
+    bare = F.regexp_replace(url, r"^(?:https?://)?(?:www[.])?", "")
     return F.regexp_replace(F.split_part(bare, F.lit("?"), F.lit(1)), "/+$", "")
 
 
@@ -43,7 +45,7 @@ def is_valid(url: Column) -> Column:
 
 def domain(url: Column) -> Column:
     """Host without www., with its port; empty where there is none."""
-    return F.coalesce(F.regexp_replace(base(url), r"^https?://(www\.)?", ""), F.lit(""))
+    return F.coalesce(F.regexp_replace(base(url), r"^https?://(?:www[.])?", ""), F.lit(""))
 
 
 def display_domain(url: Column) -> Column:

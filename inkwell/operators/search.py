@@ -88,10 +88,10 @@ class Engine:
             hits = docs.where(site_filter(sites)).select(F.col("id").cast("long").alias("id"), F.lit(1.0).alias("score"))
         return hits if self.min_score is None else hits.where(F.col("score") >= self.min_score)
 
-    def keyword(self, query: str, page: int = 1, per_page: int | None = None) -> Page:
+    def keyword(self, text: str, page: int = 1, size: int | None = PER_PAGE) -> Page:
         """A page of the ranked hits. They are scored once for the page and the total."""
-        per_page, page = per_page or PER_PAGE, max(1, page)
-        hits = self.scored(query)
+        per_page, page = size or PER_PAGE, max(1, page)
+        hits = self.scored(text)
         if hits is None:
             return self._empty(page, per_page)
         hits = hits.cache()
@@ -102,9 +102,9 @@ class Engine:
             hits.unpersist()
         return Page(self._rows([(r.id, r.score) for r in top]), total, page, per_page, -(-total // per_page))
 
-    def hybrid(self, query: str, page: int = 1, per_page: int | None = None) -> Page:
+    def hybrid(self, text: str, page: int = 1, size: int | None = PER_PAGE) -> Page:
         """The keyword ranking; vectors have no part in it."""
-        return self.keyword(query, page, per_page)
+        return self.keyword(text, page, size)
 
     def _rows(self, top: list[tuple[int, float]], cut: int | None = None) -> DataFrame:
         """The pages of a short list of (id, score), in its order."""

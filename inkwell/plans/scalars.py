@@ -28,7 +28,7 @@ def _queries(spark: SparkSession) -> DataFrame:
     return values(spark, "q string", *[(q,) for q in QUERIES_TEXT])
 
 
-_STRIP = r"regexp_replace(split_part(regexp_replace(url, '^(https?://)?(www\.)?', ''), '?', 1), '/+$', '')"
+_STRIP = r"regexp_replace(split_part(regexp_replace(url, '^(?:https?://)?(?:www[.])?', ''), '?', 1), '/+$', '')"
 
 
 @query("strip_url", f"SELECT page_id, {_STRIP} AS stripped_url FROM pages")
@@ -122,7 +122,7 @@ def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("source", "total", pages.alias("total_pages"), ((pages - 1) * 6).cast("long").alias("last_offset"))
 
 
-_SITES = r"""list_filter(list_transform(regexp_extract_all(q, '(?i)\bsite:([^\s"]+)', 1), lambda d: regexp_replace(d, '[^a-zA-Z0-9.\-_]', '', 'g')), lambda d: d <> '')"""
+_SITES = r"""list_filter(list_transform(regexp_extract_all(q, '(?i)\bsite:([^\s"]+)', 1), lambda d: regexp_replace(d, '[^\w.-]+', '', 'g')), lambda d: d <> '')"""
 _REST = r"""regexp_replace(q, '(?i)\bsite:([^\s"]+)', '', 'g')"""
 
 
@@ -161,7 +161,7 @@ def url_encoded_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CHUNKS = r"""
-WITH parts AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\n\n+', chr(1), 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
+WITH parts AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\n{2,}', chr(1), 'g'), '([!.?])\s+', '\1' || chr(1), 'g'), chr(1)),
  lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS sentences FROM documents),
 done AS (SELECT doc_id, text, list_reduce(list_prepend({'chunks': []::VARCHAR[], 'open': []::VARCHAR[], 'size': 0, 's': ''},
  list_transform(sentences, lambda s: {'chunks': []::VARCHAR[], 'open': []::VARCHAR[], 'size': 0, 's': s})), lambda a, x:

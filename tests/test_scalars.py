@@ -71,7 +71,7 @@ def chunks_of(text, target=800, most=1200):
         if open_:
             out.append(" ".join(open_))
 
-    for x in (s.strip() for s in re.split(r"(?<=[.!?])\s+|\n\n+", text)):
+    for x in (s.strip() for s in re.split(r"(?<=[!?.])\s+|\n{2,}", text)):
         if not x:
             continue
         if len(x) > most:
