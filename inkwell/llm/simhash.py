@@ -137,7 +137,7 @@ def _named(fps: DataFrame, within: int, parts: int, hot: int, least: Column) ->
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, within: int = WITHIN, parts: int = PARTS, hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id, the smallest id that links lead to, for every row."""
-    fps = cut(fingerprints(docs, words))
+    fps = cut(fingerprints(docs, words), small=True)
     named = _named(fps, within, parts, hot, F.col("doc_id"))
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
@@ -155,7 +155,7 @@ def keep_one(docs: DataFrame, words: int = SHINGLE, within: int = WITHIN, parts:
             raw = b"".join(fingerprint(x.as_py() or "", words) for x in batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_row_key"), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], names=["doc_id", "row_key", "fp"])
 
-    fps = cut(keyed.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "_row_key").mapInArrow(each, "doc_id long, row_key string, fp long"))
+    fps = cut(keyed.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "_row_key").mapInArrow(each, "doc_id long, row_key string, fp long"), small=True)
     first = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("row_key"))
     named = _named(fps, within, parts, hot, first)
     winners = cut(named.select(F.col("first.row_key").alias("_row_key")).distinct())
