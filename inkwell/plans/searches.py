@@ -21,9 +21,7 @@ def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf_dir: str, terms: list[str]) -> DataFrame:
-    posts = _posts(spark, sf_dir)
-    hits = rank.bm25(index.keyword_postings(posts, terms), index.keyword_stats(posts), terms)
-    return hits.select("id", F.round("score", 6).alias("score"))
+    return rank.bm25_scan(_posts(spark, sf_dir), terms).select("id", F.round("score", 6).alias("score"))
 
 
 def _bm25_sql(terms: list[str]) -> str:

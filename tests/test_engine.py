@@ -161,6 +161,13 @@ def test_bm25_formula(spark):
     assert got == pytest.approx({1: max(2 * part(1, 2, 4 / 3), part(1, 2, 2)), 2: part(1, 3, 2)})
 
 
+@pytest.mark.parametrize("terms", [["dog"], ["dog", "hill"], ["the", "and", "dog"], ["absent"]])
+def test_scan_ranks_as_the_index_does(engine, terms):
+    pages = engine.pages
+    indexed = {r.id: r.score for r in rank.bm25(engine.store.read("keyword_postings"), engine.store.read("keyword_stats"), terms).collect()}
+    assert {r.id: r.score for r in rank.bm25_scan(pages, terms).collect()} == pytest.approx(indexed)
+
+
 def test_covers():
     assert rank.covers([([1], 0), ([2], 0)]) == 1.0
     assert rank.covers([([1, 10], 0), ([4, 11], 0)]) == pytest.approx(1 / 3 + 1 / 6 + 1)
