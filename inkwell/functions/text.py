@@ -26,7 +26,8 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(strip(text), F.lit("")) == ""
+    """Null, empty or white space alone; it looks no further than the first character that isn't."""
+    return ~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
 
 
 def normal_space(text: Column) -> Column:

@@ -52,7 +52,9 @@ def bm25_scan(pages: DataFrame, terms: list[str]) -> DataFrame:
         tf = {f: F.col(f"tf_{f}_{i}") for f in fields}
         parts = [BOOST[f] * idf * tf[f] * (K1 + 1) / (tf[f] + K1 * (1 - B + B * F.col(f"dl_{f}") / (s[f"mean_{f}"] or 1.0))) for f in fields]
         score, every = score + F.greatest(*parts), every & (F.greatest(*tf.values()) > 0)
-    return rows.where(every).select("id", score.alias("score"))
+    hit = F.array(F.struct("id", score.alias("score")))
+    # a filter would be pushed below the counts, and every text taken apart again for it
+    return rows.select(F.inline(F.when(every, hit).otherwise(F.slice(hit, 1, 0))))
 
 
 def _places(item: Item, columns: dict[str, str]) -> Column:
