@@ -1,9 +1,12 @@
 """Licence scans by sentence rules: sentences become identifiers, and identifier sequences licences.
 
-A text is cut after . ! ? or ; before white space, and at line ends; a sentence is normalised to lower-case letters and
-digits with single spaces, and looked up in SENTENCES. A rule is a licence and the identifiers that must follow
-one another, sentence by sentence; an unknown sentence interrupts. Where one match lies within a longer one, the
-longer alone is reported.
+A text is cut after . ! ? or ; before white space, and at line ends; a piece is normalised to lower-case letters and
+digits with single spaces. A rule is a licence and the identifiers of SENTENCES that must follow one another. A match begins
+and ends where pieces do, whatever cuts lie between: a notice may be wrapped at any column, and a stop within a wording ("v. 2.0",
+"Foundation; either") does no harm. Between two of a rule's sentences a list number or letter may stand; other words
+interrupt. Where one match lies within a longer one, the longer alone is reported. Blank lines cut like other line ends.
+
+The SQL twin holds each piece against one whole wording, so it has the matches whose cuts are those of SENTENCES, and no wrapped ones.
 
 All of it is one projection of built-in functions over each row: nothing is shuffled, so no key can be hot.
 
@@ -13,6 +16,10 @@ each report theirs; a null id is kept; blank sentences are passed over; only doc
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,23 +84,34 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 STOP = r"([.!?;])[ \t\x0B\f\r]+"
 
 
-def _matches(rule: int, licence: str, want: list[int]) -> Column:
-    """All places of a rule in column ids."""
-    n = len(want)
-    wanted = F.array(*map(F.lit, want))
-    places = F.filter(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: F.slice("ids", i + 1, n) == wanted)
-    return F.transform(places, lambda i: F.struct(F.lit(licence).alias("licence"), F.lit(rule).alias("rule"), i.alias("sentence"), F.lit(n).alias("n_sentences")))
+#: What may stand between two sentences of a rule, in pieces joined by |
+BETWEEN = r"[ |](?:(?:[0-9]{1,2}|[a-z])[ |])?"
+
+
+def _matches(rule: int, licence: str, needs: list[tuple[str, ...]]) -> Column:
+    """All places of a rule in column pieces; needs: the wordings of each of its sentences."""
+    cuts = BETWEEN.join(f"(?:{'|'.join(w.replace(' ', '[ |]') for w in wordings)})" for wordings in needs)
+    rx = rf"(?<=\|){cuts}(?=\|)"
+    bars = lambda s: F.length(s) - F.length(F.replace(s, F.lit("|"), F.lit("")))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda n, s: n + bars(s))
+    hits, gaps = F.regexp_extract_all("pieces", F.lit(rx), F.lit(0)), F.split("pieces", rx)
+    found = F.transform(hits, lambda h, k: F.struct(F.lit(licence).alias("licence"), F.lit(rule).alias("rule"), (total(F.slice(gaps, 1, k + 1)) + total(F.slice(hits, 1, k)) - 1).alias("sentence"), (bars(h) + 1).alias("n_sentences")))
+    flat = F.translate("pieces", "|", " ")
+    return F.when(_any(flat, needs[0]), found).otherwise(F.array().cast("array<struct<licence:string,rule:int,sentence:int,n_sentences:int>>"))
+
+
+def _any(text: Column, words: Iterable[str]) -> Column:
+    return functools.reduce(operator.or_, [F.contains(text, F.lit(w)) for w in words])
 
 
 def scan_documents(docs: DataFrame, sentences: dict = SENTENCES, rules: tuple = RULES) -> DataFrame:
-    """doc_id, licence, rule, sentence (its first, from 0), n_sentences of every match in docs (doc_id, text)."""
-    names = list(sentences)
-    numbers = {n: i + 1 for i, n in enumerate(names)}
-    known = F.create_map(*[x for n in names for wording in sentences[n] for x in (F.lit(wording), F.lit(numbers[n]))])
-    plain = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), STOP, "$1\n"), "\n"), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))), lambda s: s != "")
-    ids = docs.select("doc_id", F.transform(plain, lambda s: F.coalesce(F.element_at(known, s), F.lit(0))).alias("ids")).where(F.exists("ids", lambda i: i > 0))
-    at = [_matches(k, licence, [numbers[n] for n in needs]) for k, (licence, needs) in enumerate(rules)]
-    matches = ids.select("doc_id", F.concat(*at).alias("m"))
+    """doc_id, licence, rule, sentence (the piece it begins with, from 0), n_sentences (pieces) of every match in docs (doc_id, text)."""
+    text = F.coalesce("text", F.lit(""))
+    leads = sorted({max(w.split(), key=len) for _, needs in rules for w in sentences[needs[0]]})  # a text without any has no match
+    plain = F.filter(F.transform(F.split(F.regexp_replace(text, STOP, "$1\n"), "\n"), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))), lambda s: s != "")
+    pieces = docs.where(_any(F.lower(text), leads)).select("doc_id", F.concat(F.lit("|"), F.array_join(plain, "|"), F.lit("|")).alias("pieces"))
+    at = [_matches(k, licence, [sentences[n] for n in needs]) for k, (licence, needs) in enumerate(rules)]
+    matches = pieces.select("doc_id", F.concat(*at).alias("m"))
     inside = lambda a, b: (b["sentence"] <= a["sentence"]) & (b["sentence"] + b["n_sentences"] >= a["sentence"] + a["n_sentences"]) & (b["n_sentences"] > a["n_sentences"])
     return matches.select("doc_id", F.inline(F.filter("m", lambda a: ~F.exists("m", lambda b: inside(a, b)))))
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -186,6 +187,34 @@ def test_licences(spark, docs_of):
     assert licences.scan_documents(docs_of([])).collect() == []
 
 
+def wrapped_at(text, width):
+    return "\n".join(textwrap.fill(part, width) for part in text.split("\n"))
+
+
+NOTICES = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+}
+NOTICES["BSD-3-Clause"] = NOTICES["BSD-2-Clause"] + "\n3) Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def test_licences_of_wrapped_notices(spark, docs_of):
+    notices = [(name, text) for name, text in sorted(NOTICES.items())]
+    notices += [(name, ". ".join(licences.SENTENCES[n][0] for n in needs)) for name, needs in licences.RULES]
+    notices = [(name, "A header line.\n\n" + wrapped_at(text, width)) for name, text in notices for width in (9999, 78, 40)]
+    got = licences.scan_documents(docs_of(list(enumerate(t for _, t in notices)))).collect()
+    assert sorted((r.doc_id, r.licence, r.sentence) for r in got) == [(i, name, 1) for i, (name, _) in enumerate(notices)]
+    torn = [(0, "Not released under\nthe MIT License."), (1, "Released under the MIT License or\nanother."), (2, NOTICES["ISC"].replace("fee is", "fee\nnever is")), (3, NOTICES["BSD-2-Clause"].replace("1. ", "1. Perhaps. "))]
+    assert licences.scan_documents(docs_of(torn)).collect() == []
+    twice = licences.scan_documents(docs_of([(1, "All rights\nreserved.\nAll rights reserved. Other.\nAll\nrights\nreserved")])).collect()
+    assert sorted((r.sentence, r.n_sentences) for r in twice) == [(0, 2), (2, 1), (4, 3)]
+
+
 def test_licences_oracle(spark, sf_dir):
     import duckdb
 
