@@ -7,8 +7,10 @@ single spaces.
 
 The items are read in blocks of a bounded number of characters, each held against all documents.
 
-Defined cases: items that are null or have under `least` words say too little and take no part; null and empty texts
-have no hit; items alike in text each report theirs; repeated documents each report theirs; a null id is kept; of an
+An item of under `least` words says too little to be told with changes: it is searched for exactly, at word bounds. In scripts
+without spaces each character counts as a word, and has a bound on either side.
+
+Defined cases: items that are null, empty or blank take no part; null and empty texts have no hit; items alike in text each report theirs; repeated documents each report theirs; a null id is kept; of an
 item's places in a document the nearest is reported, then the first. Texts are searched whole, and only their needed columns are read.
 """
 
@@ -32,6 +34,21 @@ def plain(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def unspaced(c: str) -> bool:
+    """Whether c is of a script that sets no spaces between words: Thai to Myanmar, Khmer, kana, Han."""
+    return "\u0e00" <= c <= "\u109f" or "\u1780" <= c <= "\u17ff" or "\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff" or "\uff66" <= c <= "\uff9f" or "\U00020000" <= c <= "\U0003ffff"
+
+
+def weight(text: str) -> int:
+    """Words of a plain text; a character of a script without spaces is one."""
+    return text.count(" ") + 1 + sum(map(unspaced, text))
+
+
+def bounded(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] cuts no word in two."""
+    return not any(0 < i < len(text) and all(c.isalnum() and not unspaced(c) for c in text[i - 1 : i + 1]) for i in (start, end))
+
+
 def pieces(text: str, k: int) -> list[tuple[int, str]]:
     """(offset, piece) of k + 1 pieces of nearly equal length."""
     cuts = [i * len(text) // (k + 1) for i in range(k + 2)]
@@ -68,10 +85,12 @@ def masks_of(text: str) -> dict[str, int]:
 class Items:
     """A block of items and the automaton of their pieces."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, least: int):
         import ahocorasick
 
-        self.items = [(i, t, int(len(t) * rate), masks_of(t), masks_of(t[::-1])) for i, t in items]
+        self.short = [weight(t) < least for _, t in items]
+        budgets = [0 if short else int(len(t) * rate) for short, (_, t) in zip(self.short, items)]
+        self.items = [(i, t, k, masks_of(t) if k else {}, masks_of(t[::-1]) if k else {}) for k, (i, t) in zip(budgets, items)]
         self.automaton = ahocorasick.Automaton()
         at: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, k, _, _) in enumerate(self.items):
@@ -93,6 +112,8 @@ class Items:
                 tried.add((n, start))
                 _, item, k, masks, back = self.items[n]
                 if start >= 0 and text.startswith(item, start):
+                    if self.short[n] and not bounded(text, start, start + len(item)):
+                        continue
                     found = (0, start, start + len(item))
                 else:
                     low, high = max(0, start - k), start + len(item) + k
@@ -107,13 +128,13 @@ class Items:
         return [(n, *best[n]) for n in sorted(best)]
 
 
-def item_blocks(items: DataFrame, least: int = LEAST_WORDS, size: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, size: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """(item_id, plain text) in blocks of so many characters, one at a time on the driver."""
     block: list[tuple[int, str]] = []
     held = 0
     for row in items.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         text = plain(row.text)
-        if text.count(" ") + 1 < least:
+        if not text:
             continue
         if block and held + len(text) > size:
             yield block
@@ -124,13 +145,13 @@ def item_blocks(items: DataFrame, least: int = LEAST_WORDS, size: int = BLOCK_CH
         yield block
 
 
-def _local(block: list[tuple[int, str]], rate: float):
+def _local(block: list[tuple[int, str]], rate: float, least: int):
     """Builds the automaton once in each task."""
     held: list[Items] = []
 
     def get() -> Items:
         if not held:
-            held.append(Items(block, rate))
+            held.append(Items(block, rate, least))
         return held[0]
 
     return get
@@ -142,7 +163,7 @@ def find_hits(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int
 
     def scan(block: list) -> DataFrame:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            get = _local(block, rate)
+            get = _local(block, rate, least)
             for batch in batches:
                 known = get()
                 out: list[tuple] = []
@@ -155,7 +176,7 @@ def find_hits(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int
         return rows.mapInArrow(each, SCHEMA)
 
     out, waiting = None, None
-    for block in item_blocks(items, least):
+    for block in item_blocks(items):
         if waiting is not None:
             done = cut(scan(waiting))
             out = done if out is None else out.unionByName(done)
@@ -168,10 +189,10 @@ def find_hits(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int
 def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int = LEAST_WORDS) -> DataFrame:
     """The rows of docs in which no item stands, with all their columns."""
     schema, out, first = docs.schema, docs, True
-    for block in item_blocks(items, least):
+    for block in item_blocks(items):
 
         def each(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
-            get = _local(block, rate)
+            get = _local(block, rate, least)
             for batch in batches:
                 known = get()
                 yield batch.filter(pa.array([not known.find(plain(x.as_py())) for x in batch.column("text")], pa.bool_()))

@@ -187,6 +187,16 @@ def test_licences(spark, docs_of):
     assert licences.scan_documents(docs_of([])).collect() == []
 
 
+def test_decontamination_by_items_of_few_words(spark, docs_of):
+    han, thai = "敏捷的棕色狐狸跳过了那只懒惰的狗然后回到森林里的家", "สุนัขจิ้งจอกสีน้ำตาลกระโดดข้ามสุนัขขี้เกียจ"
+    items = [(1, han), (2, thai), (3, "Self.weights @ inputs.transpose"), (4, "E=mc²"), (5, "狐狸"), (6, " "), (7, None)]
+    rows = [(1, f"前文{han}后文"), (2, f"x {thai}."), (3, "y = (self.weights  @ inputs.transpose)"), (4, "so e=mc² holds"), (5, "the=mc² e=mc²x"), (6, "self.weights @ inputs.transposed"), (7, f"前文{han[:9]}鱼{han[10:]}后文"), (8, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    hits = decontaminate.find_hits(docs_of(rows), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in hits) == [(1, 1, 0), (1, 5, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (7, 1, 1), (7, 5, 0)]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs_of(rows), bench).collect()) == [5, 6, 8]
+
+
 def wrapped_at(text, width):
     return "\n".join(textwrap.fill(part, width) for part in text.split("\n"))
 
