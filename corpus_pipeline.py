@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm import decontaminate, mixing, quality, sharding, simhash
-from inkwell.llm.common import table
+from inkwell.llm.common import cut, table
 from inkwell.llm.queries import SHARDS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -52,8 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents."""
+    """All stages over the table documents; each reads what the one before has written."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

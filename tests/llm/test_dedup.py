@@ -278,3 +278,19 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
     assert Counter(map(tuple, P.run(spark, sf_dir).collect())) == Counter(map(tuple, shards))
     for df in outs.values():
         df.unpersist()
+
+
+def test_pipeline_stages_read_what_was_written(spark, sf_dir, monkeypatch):
+    import corpus_pipeline as P
+
+    read = []
+
+    def stage(spark, docs, _):
+        read.append(docs.inputFiles())
+        return docs.where(F.col("doc_id") % 7 != len(read))
+
+    monkeypatch.setattr(P, "STAGES", [(str(k), stage) for k in range(3)])
+    got = sorted(r.doc_id for r in P.run(spark, sf_dir).collect())
+    assert got == sorted(r.doc_id for r in table(spark, sf_dir, "documents").collect() if r.doc_id % 7 not in (1, 2, 3))
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert [all(shared in f for f in files) for files in read] == [False, True, True] and all(read)
