@@ -1,140 +1,232 @@
 """Substring de-duplication by paragraph MinHash banding.
 
-A paragraph is a line with at least `least` words, in lower case with single spaces; it is compared as the set of its five-word
-shingles (itself, if shorter). Paragraphs with one set are one variant. Variants with a Jaccard similarity of `alike`
-or more are linked, classes are the components of the links, and of each class the first paragraph (smallest document id, then
-line) stays.
-
-Candidates collide in one of BANDS bands of ROWS minima: at 0.8 that finds 1 - (1 - 0.8^4)^12 = 99.8 % of the pairs, and more above.
+A paragraph is a piece of a text's words, cut where the content itself says so: before a word whose hash, taken with the next word's,
+is the least among `reach` positions on either side, and where a run of more than `reach` equal words begins or ends. Lines play no
+part, so a passage gives the same pieces wherever it stands, within longer lines or over several. A piece has more than `reach` words; short
+lines go with their neighbours, and a text of few words is one piece. Pieces are compared, in lower case, as the sets of their five-word
+shingles (whole, if shorter). Pieces with one set are one variant. Variants with a Jaccard similarity of `alike`
+or more are linked, classes are the components of the links, and of each class the first piece (smallest document id, then
+place) stays.
+
+Candidates collide in one of BANDS bands of ROWS minima: at 0.8 that finds 1 - (1 - 0.8^3)^7 = 99.3 % of the pairs, and more above.
 Sets of fewer than four shingles are alike only if they are equal, so they take no bands. Every candidate is verified on the exact sets.
 Within a bucket, each variant is first held against the bucket's least; then only variants of a bucket that aren't
-in one component yet are held against one another. So a group of many like variants costs links in proportion to its size,
-and no link between components is lost.
+in one component yet are held against one another: in a bucket of more than HOT of those, only where their prefixes share a
+shingle, as those of every linked pair do. So a group of many like variants costs links in proportion to its size, and no link between
+components is lost.
 
-Defined cases: null and empty texts have no paragraphs; short lines belong to no class; rows repeated under one id are one place, and
-stay or go together; null ids come last; a class needs two places or more; an empty table gives no rows.
-Texts are read whole, and only doc_id and text of whatever columns there are.
+Defined cases: null and empty texts have no pieces; a character of a script without spaces is a word; rows equal in id and text are one
+place, and stay or go together; texts of one id are ordered by checksum; null ids come last; a class needs two places or more; an empty
+table gives no rows. Texts are read whole, and only doc_id and text of whatever columns there are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut
 
 WORDS = 5
 ALIKE = 0.8
-LEAST_WORDS = 15
-BANDS = 12
-ROWS = 4
+REACH = 12
+BANDS = 7
+ROWS = 3
 SEED = 42
-BATCH_SHINGLES = 1 << 16
-PLACES = "doc_id long, line int, words int, id long, n int, bands binary"
-
-
-def shingles(line: bytes, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct hashes of a line's shingles; line is in lower case."""
-    import xxhash
-
-    found = line.split()
-    whole = b" ".join(found)
-    if len(found) <= words:
-        return np.array([xxhash.xxh64_intdigest(whole, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(found) - words + 1].tolist()
-    digest = xxhash.xxh64_digest
-    raw = b"".join([digest(whole[s:e], SEED) for s, e in zip(starts, ends[words - 1 :].tolist())])
-    return np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
+HOT = 64
+BATCH_WORDS = 1 << 17
+KNOWN_WORDS = 1 << 19
+KEYS = [f"k{i}" for i in range(BANDS)]
+PLACES = "doc_id long, mark long, piece int, start int, words int, id long, n int, " + ", ".join(f"{k} long" for k in KEYS)
+#: Thai to Myanmar, Khmer, kana, Han: scripts that set no spaces between words.
+UNSPACED = re.compile("[฀-႟ក-៿぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff]")
+FAR = np.iinfo(np.int64).max
+
+
+class _Hashes(dict):
+    """The first eight bytes of each word's MD5, as a number; forgotten when there are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = out = int.from_bytes(hashlib.md5(word).digest()[:8], "little")
+        return out
+
+
+def tokens(text: str | None) -> list[bytes]:
+    low = (text or "").lower()
+    if UNSPACED.search(low):
+        low = UNSPACED.sub(r" \g<0> ", low)
+    return low.encode("utf-8", "surrogatepass").split()
+
+
+def _least(x: np.ndarray, span: int) -> np.ndarray:
+    """The least of x[i : i + span], for every i; FAR stands beyond the end."""
+    out, have = x, 1
+    while have < span:
+        step = min(have, span - have)
+        out = np.minimum(out, np.concatenate((out[step:], np.full(step, FAR))))
+        have += step
+    return out
 
 
-def set_id(hashes: np.ndarray) -> int:
-    """One number for one set."""
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _behind(x: np.ndarray, by: int, fill: int) -> np.ndarray:
+    return np.concatenate((np.full(by, fill), x[:-by]))
+
+
+def _ahead(x: np.ndarray, by: int, fill: int) -> np.ndarray:
+    return np.concatenate((x[by:], np.full(by, fill)))
+
+
+def cuts(hashes: np.ndarray, sizes: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Whether a piece begins at each word; hashes are those of the words of texts with so many words each, one after another."""
+    n_texts, ends = len(sizes), np.cumsum(sizes)
+    text = np.repeat(np.arange(n_texts), sizes)
+    local = np.arange(len(hashes)) - (ends - sizes)[text]
+    at = np.arange(len(hashes)) + (text + 1) * reach  # texts stand apart, so that no window reaches another text
+    room = len(hashes) + (n_texts + 1) * reach
+    low = (hashes >> np.uint64(33)).astype(np.int64)
+    last = local == sizes[text] - 1
+    pair = (low * 1103515245 + _ahead(low, 1, 0) * 12345) % 2147483647
+    pair[last] = FAR
+    g = np.full(room, FAR)
+    g[at] = pair
+    same = np.zeros(room, np.int64)
+    same[at[1:]] = (hashes[1:] == hashes[:-1]) & (local[1:] > 0)
+    inner = np.zeros(room, bool)
+    inner[at] = (local > reach) & (sizes[text] - local > reach)
+
+    ahead, run = _least(g, reach), _least(same, reach)
+    least = (g < _behind(ahead, reach, FAR)) & (g <= _ahead(ahead, 1, FAR)) & inner & (g < FAR)
+    turn = inner & (same == 0)
+    end = turn & (_behind(run, reach, 0) == 1)
+    near = lambda x: np.minimum(_least(np.where(x, 0, 1), reach + 1), _behind(_least(np.where(x, 0, 1), reach), reach, 1)) == 0
+    start = turn & (_ahead(run, 1, 0) == 1) & ~(_behind(_least(np.where(end, 0, 1), reach), reach, 1) == 0)
+    forced = end | start
+    return ((least & ~near(forced)) | forced)[at] | (local == 0)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(hashes: np.ndarray, begins: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(flat, starts): the sorted distinct shingle hashes of every piece, one piece after another. begins: where pieces begin."""
+    ends = np.append(begins[1:], len(hashes))
+    piece = np.repeat(np.arange(len(begins)), ends - begins)
+    end = ends[piece]
+    at = np.arange(len(hashes))
+    flat = np.zeros(len(hashes), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(words):  # of a piece with fewer words, the whole
+            there = at + i < end
+            flat = _mixed(flat + np.where(there, hashes[np.minimum(at + i, len(hashes) - 1)], np.uint64(i)))
+    keep = (at + words <= end) | (at == begins[piece])
+    flat, piece = flat[keep], piece[keep]
+    order = np.lexsort((flat, piece))
+    flat, piece = flat[order], piece[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (piece[1:] != piece[:-1])
+    flat, piece = flat[new], piece[new]
+    return flat, np.searchsorted(piece, np.arange(len(begins)))
+
+
+def set_ids(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One number for each set."""
+    with np.errstate(over="ignore"):
+        size = np.diff(np.append(starts, len(flat))).astype(np.uint64)
+        return _mixed(np.add.reduceat(_mixed(flat ^ np.uint64(SEED)), starts) + size).view(np.int64)
 
 
-def minima(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> np.ndarray:
-    """A 32-bit key for each set and band."""
+def minima(flat: np.ndarray, starts: np.ndarray, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> np.ndarray:
+    """A 64-bit key for each set and band."""
     rng = np.random.default_rng(seed)
-    flat = np.concatenate(sets)
-    starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    out = np.empty((len(sets), bands), np.uint32)
+    out = np.empty((len(starts), bands), np.int64)
+    base = flat ^ (flat >> np.uint64(31))
     with np.errstate(over="ignore"):
         for b in range(bands):
-            key = np.full(len(sets), b + 1, np.uint64)
+            key = np.full(len(starts), b + 1, np.uint64)
             for _ in range(rows):
                 odd, add = rng.integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-                least = np.minimum.reduceat((flat ^ (flat >> np.uint64(31)) ^ add) * odd, starts)
-                key = (key ^ least ^ (least >> np.uint64(33))) * np.uint64(0x9E3779B97F4A7C15)
-            out[:, b] = (key >> np.uint64(32)).astype(np.uint32)
+                key = _mixed(key ^ np.minimum.reduceat((base ^ add) * odd, starts))
+            out[:, b] = key.view(np.int64)
     return out
 
 
-def _lines(text: str | None, least: int) -> Iterator[tuple[int, int, bytes]]:
-    for i, line in enumerate((text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):
-        n = len(line.split())
-        if n >= least:
-            yield i, n, line
+def _cut_texts(texts: list[list[bytes]], known: _Hashes, reach: int) -> tuple[np.ndarray, ...]:
+    """(text, piece, start, words, flat, starts) of the pieces of texts that aren't empty."""
+    sizes = np.array([len(t) for t in texts])
+    hashes = np.fromiter((known[w] for t in texts for w in t), np.uint64, int(sizes.sum()))
+    begins = np.flatnonzero(cuts(hashes, sizes, reach))
+    first = np.cumsum(sizes) - sizes
+    text = np.searchsorted(first, begins, "right") - 1
+    piece = np.arange(len(begins)) - np.searchsorted(text, text)
+    return text, piece, begins - first[text], np.diff(np.append(begins, len(hashes))), *shingles(hashes, begins)
+
+
+def _batches(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[list[bytes]]]]:
+    """(rows, words) of a batch's texts, about BATCH_WORDS at a time; texts without words are left out."""
+    rows, held, size = [], [], 0
+    for i, text in enumerate(batch.column("text")):
+        found = tokens(text.as_py())
+        if found:
+            rows.append(i)
+            held.append(found)
+            size += len(found)
+        if size >= BATCH_WORDS:
+            yield rows, held
+            rows, held, size = [], [], 0
+    if rows:
+        yield rows, held
 
 
-def places(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """PLACES: every paragraph, with its set's id and size and its band keys (null if it needs none)."""
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, text; the mark tells apart texts under one id, or under none."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
+def places(docs: DataFrame, reach: int = REACH) -> DataFrame:
+    """PLACES: every piece, with its set's id and size and its band keys (null if it needs none)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
         for batch in batches:
-            held: list[tuple] = []
-            sets: list[np.ndarray] = []
-            size = 0
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                doc_id = doc_id.as_py()
-                for i, n, line in _lines(text.as_py(), least):
-                    s = shingles(line)
-                    held.append((doc_id, i, n))
-                    sets.append(s)
-                    size += len(s)
-                    if size >= BATCH_SHINGLES:
-                        yield _batch(held, sets)
-                        held, sets, size = [], [], 0
-            if held:
-                yield _batch(held, sets)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, PLACES)
-
-
-def _batch(held: list[tuple], sets: list[np.ndarray]) -> pa.RecordBatch:
-    keys = minima(sets)
-    bands = [k.tobytes() if len(s) > 3 else None for k, s in zip(keys, sets)]
-    doc_id, line, words = zip(*held)
-    columns = [
-        pa.array(doc_id, pa.int64()), pa.array(line, pa.int32()), pa.array(words, pa.int32()),
-        pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(bands, pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "words", "id", "n", "bands"])
-
-
-def _sets_of(owners: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, hashes of the variants in owners (doc_id, line, id): their lines are read again from docs."""
-    wanted = owners.groupBy("doc_id").agg(F.collect_list(F.struct("line", "id")).alias("want")).withColumnRenamed("doc_id", "_owner")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    joined = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_owner"))).select("text", "want")
+            for rows, texts in _batches(batch):
+                text, piece, start, words, flat, starts = _cut_texts(texts, known, reach)
+                at = pa.array(np.array(rows)[text])
+                n = np.diff(np.append(starts, len(flat)))
+                none = n < 4
+                columns = [batch.column("doc_id").take(at), batch.column("mark").take(at), *(pa.array(c.astype(np.int32)) for c in (piece, start, words)), pa.array(set_ids(flat, starts)), pa.array(n.astype(np.int32))]
+                columns += [pa.array(k, pa.int64(), mask=none) for k in minima(flat, starts).T]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "piece", "start", "words", "id", "n", *KEYS])
+
+    return _marked(docs).mapInArrow(each, PLACES)
+
+
+def _sets_of(owners: DataFrame, docs: DataFrame, reach: int) -> DataFrame:
+    """id, hashes of the variants in owners (doc_id, mark, piece, id): their texts are read again from docs."""
+    wanted = owners.groupBy(F.col("doc_id").alias("_owner"), F.col("mark").alias("_mark")).agg(F.collect_list("piece").alias("want"))
+    texts = _marked(docs)
+    joined = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("_owner")) & (texts["mark"] == F.col("_mark"))).select("text", "want")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
         for batch in batches:
-            ids, sets = [], []
-            for text, want in zip(batch.column("text"), batch.column("want")):
-                lines = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split(b"\n")
-                for w in want.as_py():
-                    if w["line"] < len(lines) and lines[w["line"]].split():
-                        s = shingles(lines[w["line"]])
-                        if set_id(s) == w["id"]:  # rows repeated under one id may hold other texts
-                            ids.append(w["id"])
-                            sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "hashes"])
+            for rows, texts in _batches(batch):
+                text, piece, _, _, flat, starts = _cut_texts(texts, known, reach)
+                want = {(i, p) for i, r in enumerate(rows) for p in batch.column("want")[r].as_py()}
+                chosen = np.array([k for k, key in enumerate(zip(text.tolist(), piece.tolist())) if key in want], np.int64)
+                ends = np.append(starts[1:], len(flat))
+                sets = [flat[a:b].view(np.int64) for a, b in zip(starts[chosen], ends[chosen])]
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(flat, starts)[chosen]), pa.array(sets, pa.list_(pa.int64()))], names=["id", "hashes"])
 
     return joined.mapInArrow(each, "id long, hashes array<long>").dropDuplicates(["id"])
 
@@ -147,34 +239,46 @@ def _verified(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
     return joined.where(both >= F.lit(alike) * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
 
 
-def duplicate_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, alike: float = ALIKE) -> DataFrame:
-    """doc_id, line, words, first_doc, first_line, removed: every paragraph of every class of two places or more.
+def _rest(mixed: DataFrame, sets: DataFrame, alike: float, hot: int) -> DataFrame:
+    """Pairs (a, b) to be verified of mixed (id, n, key, root): of one key and different roots."""
+    fits = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(alike) - 1e-9
+    counts = mixed.groupBy("key").agg(F.count("*").alias("m"))
+    mixed = cut(mixed.join(counts, "key"), small=True)
+
+    def pairs(rows: DataFrame, on: list[str]) -> DataFrame:
+        names = ["id", "n", "root"]
+        left = rows.select(*on, *[F.col(c).alias(x) for c, x in zip(names, ("a", "na", "ra"))])
+        right = rows.select(*on, *[F.col(c).alias(x) for c, x in zip(names, ("b", "nb", "rb"))])
+        return left.join(right, on).where((F.col("ra") < F.col("rb")) & fits).select("a", "b")
+
+    prefix = F.slice("hashes", 1, F.size("hashes") - F.ceil(F.size("hashes") * F.lit(alike) - 1e-9).cast("int") + 1)
+    many = mixed.where(F.col("m") > hot).join(sets.hint("merge"), "id").select("id", "n", "key", "root", F.explode(prefix).alias("shingle"))
+    return pairs(mixed.where(F.col("m") <= hot), ["key"]).unionByName(pairs(many, ["key", "shingle"])).distinct()
+
+
+def duplicate_paragraphs(docs: DataFrame, reach: int = REACH, alike: float = ALIKE, hot: int = HOT) -> DataFrame:
+    """doc_id, piece, start, words, first_doc, first_piece, removed: every piece of every class of two places or more.
 
-    A class is named by its first place, first_doc and first_line.
+    start is the number of the piece's first word in its text, from 0. A class is named by its first place, first_doc and first_piece.
     """
-    found = cut(places(docs, least))
-    variants = found.where("bands is not null").groupBy("id").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"))
-    number = lambda i: F.conv(F.hex(F.substring("bands", 4 * i + 1, 4)), 16, 10).cast("long") + F.lit(i << 32)
-    rows = variants.select("id", "n", F.explode(F.array(*[number(i) for i in range(BANDS)])).alias("key"))
-    bucket = Window.partitionBy("key")
-    rows = rows.select("id", "n", "key", F.count("*").over(bucket).alias("m"), F.min("id").over(bucket).alias("hub")).where("m > 1").drop("m")
-    shared = cut(rows, small=True)
-    fits = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(alike) - 1e-9
+    found = cut(places(docs, reach))
+    variants = found.where(F.col(KEYS[0]).isNotNull()).groupBy("id").agg(F.first("n").alias("n"), *[F.first(k).alias(k) for k in KEYS])
+    rows = variants.select("id", "n", F.explode(F.array(*KEYS)).alias("key"))
+    ends = rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
+    shared = cut(rows.join(ends.hint("merge"), "key").select("id", "n", "key", "hub"), free=True, small=True)
+    fits = F.least("na", "n") >= F.greatest("na", "n") * F.lit(alike) - 1e-9
     sizes = shared.select(F.col("id").alias("a"), F.col("n").alias("na")).distinct()
-    stars = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "n").distinct().join(sizes, "a").where(fits(F.col("na"), F.col("n"))).select("a", "b")
-    owner = found.join(shared.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "line")).alias("at"))
-    sets = cut(_sets_of(owner.select("id", "at.doc_id", "at.line"), docs))
+    stars = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "n").distinct().join(sizes, "a").where(fits).select("a", "b")
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark", "piece")
+    owner = found.join(shared.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(order).alias("at"))
+    sets = cut(_sets_of(owner.select("id", "at.doc_id", "at.mark", "at.piece"), docs, reach), free=True)
     links = cut(_verified(stars, sets, alike), small=True)
     roots = cut(components(links, "a", "b"))
     named = shared.join(roots, shared["id"] == roots["node"], "left").select("id", "n", "key", F.coalesce("root", "id").alias("root"))
-    across = Window.partitionBy("key")
-    mixed = cut(named.withColumn("lo", F.min("root").over(across)).withColumn("hi", F.max("root").over(across)).where("lo <> hi").drop("lo", "hi"), small=True)
-    left, right = mixed.toDF("a", "na", "key", "ra"), mixed.toDF("b", "nb", "key", "rb")
-    rest = left.join(right, "key").where((F.col("ra") < F.col("rb")) & fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    more = _verified(rest, sets, alike)
+    ranges = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    more = _verified(_rest(cut(named.join(ranges, "key"), small=True), sets, alike, hot), sets, alike)
     classes = cut(components(cut(links.unionByName(more), small=True), "a", "b"))
-    placed = found.join(classes, found["id"] == classes["node"], "left").select("doc_id", "line", "words", F.coalesce("root", "id").alias("class_id"))
-    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "line")
+    placed = found.join(classes, found["id"] == classes["node"], "left").select("doc_id", "mark", "piece", "start", "words", F.coalesce("root", "id").alias("class_id"))
     heads = placed.groupBy("class_id").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo <> hi").select("class_id", "lo")
-    same = F.col("doc_id").eqNullSafe(F.col("lo.doc_id")) & (F.col("line") == F.col("lo.line"))
-    return placed.join(heads, "class_id").select("doc_id", "line", "words", F.col("lo.doc_id").alias("first_doc"), F.col("lo.line").alias("first_line"), (~same).alias("removed"))
+    same = F.col("doc_id").eqNullSafe(F.col("lo.doc_id")) & (F.col("mark") == F.col("lo.mark")) & (F.col("piece") == F.col("lo.piece"))
+    return placed.join(heads, "class_id").select("doc_id", "piece", "start", "words", F.col("lo.doc_id").alias("first_doc"), F.col("lo.piece").alias("first_piece"), (~same).alias("removed"))

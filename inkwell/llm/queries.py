@@ -81,18 +81,26 @@ texts AS (SELECT doc_id, string_agg(substr(x, 2 * low + 1, 2 * (coalesce(high, l
 SELECT doc_id, length(x) // 2 AS n_bytes, coalesce((SELECT sum(high - low) FROM runs WHERE runs.doc_id = d.doc_id), 0)::BIGINT AS n_removed,
  (SELECT count(*) FROM runs WHERE runs.doc_id = d.doc_id) AS n_spans, sha256(unhex(y)) AS kept_sha256 FROM d JOIN texts USING (doc_id)"""
 
-#: Exact, where the operator finds its candidates by bands.
+#: Exact, where the operator finds its candidates by bands; 12 is paragraphs.REACH.
 OP9_SQL = r"""
-WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
-p AS (SELECT doc_id, line, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM l),
-g AS (SELECT doc_id, line, len(w) AS words, list_sort(list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM p WHERE len(w) >= 15),
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '([฀-႟ក-៿぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ\x{20000}-\x{3ffff}])', ' \1 ', 'g'), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM documents),
+u AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM t WHERE len(w) > 0),
+h AS (SELECT *, (md5_number_upper(x) >> 33)::BIGINT AS h FROM u),
+a AS (SELECT doc_id, n, x, i, CASE WHEN i < n - 1 THEN (h * 1103515245 + lead(h) OVER d * 12345) % 2147483647 END AS a, coalesce((x = lag(x) OVER d)::INT, 0) AS same FROM h WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT *, i > 12 AND n - i > 12 AS room, min(a) OVER back AS al, min(a) OVER onward AS ar, sum(same) OVER back AS sl, sum(same) OVER onward AS sr FROM a
+ WINDOW back AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), onward AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING)),
+o AS (SELECT *, room AND same = 0 AND sl = 12 AS stops FROM b),
+y AS (SELECT *, stops OR (room AND same = 0 AND sr = 12 AND NOT bool_or(stops) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)) AS forced FROM o),
+z AS (SELECT *, i = 0 OR forced OR (room AND a < al AND a <= ar AND NOT bool_or(forced) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)) AS begins FROM y),
+p AS (SELECT doc_id, piece, min(i) AS start, list(x ORDER BY i) AS w FROM (SELECT doc_id, i, x, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS piece FROM z) GROUP BY ALL),
+g AS (SELECT doc_id, piece, start, len(w) AS words, list_sort(list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM p),
 v AS (SELECT s, row_number() OVER (ORDER BY s) AS id FROM (SELECT DISTINCT s FROM g)),
 m AS (SELECT id, len(s) AS n, unnest(s) AS x FROM v),
 e AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON a.x = b.x AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
 c(id, root) AS (SELECT id, id FROM v UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.id),
 k AS (SELECT id, min(root) AS root FROM c GROUP BY id),
-f AS (SELECT doc_id, line, words, root, first_value({'d': doc_id, 'l': line}) OVER (PARTITION BY root ORDER BY doc_id, line) AS f, count(*) OVER (PARTITION BY root) AS n FROM g JOIN v USING (s) JOIN k USING (id))
-SELECT doc_id, line::INT AS line, words::INT AS words, f.d AS first_doc, f.l::INT AS first_line, doc_id <> f.d OR line <> f.l AS removed FROM f WHERE n > 1"""
+f AS (SELECT doc_id, piece, start, words, root, first_value({'d': doc_id, 'p': piece}) OVER (PARTITION BY root ORDER BY doc_id, piece) AS f, count(*) OVER (PARTITION BY root) AS n FROM g JOIN v USING (s) JOIN k USING (id))
+SELECT doc_id, piece::INT AS piece, start::INT AS start, words::INT AS words, f.d AS first_doc, f.p::INT AS first_piece, doc_id <> f.d OR piece <> f.p AS removed FROM f WHERE n > 1"""
 
 #: The others can't be expressed in SQL (DuckDB has neither CRC-32 nor XXH64, no edit distance to a part of a text, no seeded draws); tests hold each
 #: against a brute-force version.
