@@ -276,8 +276,9 @@ def duplicate_paragraphs(docs: DataFrame, reach: int = REACH, alike: float = ALI
     roots = cut(components(links, "a", "b"))
     named = shared.join(roots, shared["id"] == roots["node"], "left").select("id", "n", "key", F.coalesce("root", "id").alias("root"))
     ranges = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    more = _verified(_rest(cut(named.join(ranges, "key"), small=True), sets, alike, hot), sets, alike)
-    classes = cut(components(cut(links.unionByName(more), small=True), "a", "b"))
+    mixed = cut(named.join(ranges, "key"), small=True)
+    more = None if mixed.isEmpty() else cut(_verified(_rest(mixed, sets, alike, hot), sets, alike), small=True)
+    classes = roots if more is None or more.isEmpty() else cut(components(roots.toDF("a", "b").unionByName(more), "a", "b"))
     placed = found.join(classes, found["id"] == classes["node"], "left").select("doc_id", "mark", "piece", "start", "words", F.coalesce("root", "id").alias("class_id"))
     heads = placed.groupBy("class_id").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo <> hi").select("class_id", "lo")
     same = F.col("doc_id").eqNullSafe(F.col("lo.doc_id")) & (F.col("mark") == F.col("lo.mark")) & (F.col("piece") == F.col("lo.piece"))
