@@ -42,7 +42,16 @@ def cut(df: DataFrame, free: bool = False, small: bool = False) -> DataFrame:
     if free:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes what cut wrote for df; nothing that is still to be computed may read it."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def spread(spark: SparkSession) -> int:

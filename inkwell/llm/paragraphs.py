@@ -25,13 +25,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, drop
 
 WORDS = 5
 ALIKE = 0.8
@@ -163,7 +164,7 @@ def minima(flat: np.ndarray, starts: np.ndarray, bands: int = BANDS, rows: int =
 def _cut_texts(texts: list[list[bytes]], known: _Hashes, reach: int) -> tuple[np.ndarray, ...]:
     """(text, piece, start, words, flat, starts) of the pieces of texts that aren't empty."""
     sizes = np.array([len(t) for t in texts])
-    hashes = np.fromiter((known[w] for t in texts for w in t), np.uint64, int(sizes.sum()))
+    hashes = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.uint64, int(sizes.sum()))
     begins = np.flatnonzero(cuts(hashes, sizes, reach))
     first = np.cumsum(sizes) - sizes
     text = np.searchsorted(first, begins, "right") - 1
@@ -194,17 +195,27 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 
 def places(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """PLACES: every piece, with its set's id and size and its band keys (null if it needs none)."""
+    """PLACES: every piece, with its set's id and size and its band keys.
+
+    The keys are null where none are needed, and where the task has lately given those of the same set; so a set that stands in very many
+    places brings few rows to a bucket.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
+        seen = np.zeros(0, np.int64)
         for batch in batches:
             for rows, texts in _batches(batch):
                 text, piece, start, words, flat, starts = _cut_texts(texts, known, reach)
                 at = pa.array(np.array(rows)[text])
                 n = np.diff(np.append(starts, len(flat)))
-                none = n < 4
-                columns = [batch.column("doc_id").take(at), batch.column("mark").take(at), *(pa.array(c.astype(np.int32)) for c in (piece, start, words)), pa.array(set_ids(flat, starts)), pa.array(n.astype(np.int32))]
+                ids = set_ids(flat, starts)
+                fresh, first = np.unique(ids, return_index=True)
+                new = np.zeros(len(ids), bool)
+                new[first[~np.isin(fresh, seen, assume_unique=True)]] = True
+                seen = fresh if len(seen) > KNOWN_WORDS else np.union1d(seen, fresh)
+                none = (n < 4) | ~new
+                columns = [batch.column("doc_id").take(at), batch.column("mark").take(at), *(pa.array(c.astype(np.int32)) for c in (piece, start, words)), pa.array(ids), pa.array(n.astype(np.int32))]
                 columns += [pa.array(k, pa.int64(), mask=none) for k in minima(flat, starts).T]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "piece", "start", "words", "id", "n", *KEYS])
 
@@ -262,19 +273,21 @@ def duplicate_paragraphs(docs: DataFrame, reach: int = REACH, alike: float = ALI
     start is the number of the piece's first word in its text, from 0. A class is named by its first place, first_doc and first_piece.
     """
     found = cut(places(docs, reach))
-    variants = found.where(F.col(KEYS[0]).isNotNull()).groupBy("id").agg(F.first("n").alias("n"), *[F.first(k).alias(k) for k in KEYS])
-    rows = variants.select("id", "n", F.explode(F.array(*KEYS)).alias("key"))
+    rows = found.where(F.col(KEYS[0]).isNotNull()).select("id", F.explode(F.array(*KEYS)).alias("key"))
     ends = rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
-    shared = cut(rows.join(ends.hint("merge"), "key").select("id", "n", "key", "hub"), free=True, small=True)
+    ends = cut(ends, free=True, small=True)
+    shared = cut(rows.join(ends.hint("merge"), "key").distinct(), free=True, small=True)
+    drop(ends)
+    sizes = cut(found.select("id", "n").join(shared.select("id").distinct(), "id", "left_semi").distinct(), small=True)
     fits = F.least("na", "n") >= F.greatest("na", "n") * F.lit(alike) - 1e-9
-    sizes = shared.select(F.col("id").alias("a"), F.col("n").alias("na")).distinct()
-    stars = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "n").distinct().join(sizes, "a").where(fits).select("a", "b")
+    stars = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    stars = stars.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), "n"), "b").where(fits).select("a", "b")
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark", "piece")
-    owner = found.join(shared.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(order).alias("at"))
+    owner = found.join(sizes.select("id"), "id", "left_semi").groupBy("id").agg(F.min(order).alias("at"))
     sets = cut(_sets_of(owner.select("id", "at.doc_id", "at.mark", "at.piece"), docs, reach), free=True)
     links = cut(_verified(stars, sets, alike), small=True)
     roots = cut(components(links, "a", "b"))
-    named = shared.join(roots, shared["id"] == roots["node"], "left").select("id", "n", "key", F.coalesce("root", "id").alias("root"))
+    named = shared.join(sizes, "id").join(roots, shared["id"] == roots["node"], "left").select("id", "n", "key", F.coalesce("root", "id").alias("root"))
     ranges = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     mixed = cut(named.join(ranges, "key"), small=True)
     more = None if mixed.isEmpty() else cut(_verified(_rest(mixed, sets, alike, hot), sets, alike), small=True)
