@@ -11,8 +11,9 @@ place) stays.
 Candidates collide in one of BANDS bands of ROWS minima: at 0.8 that finds 1 - (1 - 0.8^3)^7 = 99.3 % of the pairs, and more above.
 Sets of fewer than four shingles are alike only if they are equal, so they take no bands. Every candidate is verified on the exact sets.
 Within a bucket, each variant is first held against the bucket's least; then only variants of a bucket that aren't
-in one component yet are held against one another: in a bucket of more than HOT of those, only where their prefixes share a
-shingle, as those of every linked pair do. So a group of many like variants costs links in proportion to its size, and no link between
+in one component yet are held against one another. Variants of a bucket with more than HOT of those are held against one another only where their
+prefixes share a shingle, as those of every linked pair do: with the rarest shingles first, the n - ceil(alike * n) + 1 first of n.
+So a group of many variants costs links in proportion to its size, whether they are alike or merely share a part, and no link between
 components is lost.
 
 Defined cases: null and empty texts have no pieces; a character of a script without spaces is a word; rows equal in id and text are one
@@ -262,9 +263,11 @@ def _rest(mixed: DataFrame, sets: DataFrame, alike: float, hot: int) -> DataFram
         right = rows.select(*on, *[F.col(c).alias(x) for c, x in zip(names, ("b", "nb", "rb"))])
         return left.join(right, on).where((F.col("ra") < F.col("rb")) & fits).select("a", "b")
 
-    prefix = F.slice("hashes", 1, F.size("hashes") - F.ceil(F.size("hashes") * F.lit(alike) - 1e-9).cast("int") + 1)
-    many = mixed.where(F.col("m") > hot).join(sets.hint("merge"), "id").select("id", "n", "key", "root", F.explode(prefix).alias("shingle"))
-    return pairs(mixed.where(F.col("m") <= hot), ["key"]).unionByName(pairs(many, ["key", "shingle"])).distinct()
+    many = mixed.where(F.col("m") > hot).select("id", "n", "root").distinct().join(sets.hint("merge"), "id").select("id", "n", "root", F.explode("hashes").alias("shingle"))
+    ranked = many.join(many.groupBy("shingle").agg(F.count("*").alias("df")).hint("merge"), "shingle").groupBy("id", "n", "root").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
+    prefix = F.slice("all", 1, F.size("all") - F.ceil(F.size("all") * F.lit(alike) - 1e-9).cast("int") + 1)
+    rare = ranked.select("id", "n", "root", F.explode(prefix.getField("shingle")).alias("shingle"))
+    return pairs(mixed.where(F.col("m") <= hot), ["key"]).unionByName(pairs(rare, ["shingle"])).distinct()
 
 
 def duplicate_paragraphs(docs: DataFrame, reach: int = REACH, alike: float = ALIKE, hot: int = HOT) -> DataFrame:
