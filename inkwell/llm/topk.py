@@ -3,10 +3,12 @@
 A vector's component x becomes the whole number floor(256 * x). Cut into segments of equal length L, with means m and
 deviations s, two vectors are at least sqrt(sum of L * ((m - m')^2 + (s - s')^2)) apart; as the lengths are known too, that
 says their inner product is at most the sum of L * (m * m' + s * s'). Every candidate is held against a query's fifth best
-score so far by the bound of the coarsest segments, then of the finer; what survives is scored exactly, in whole numbers.
+score so far by the bound of the coarsest segments, then of the finer ones, down to segments of two or three components; only what
+survives all levels is scored exactly, in whole numbers, each query's most promising candidates first, so that the fifth best score
+is high from the start.
 
-The queries go out in passes of a bounded number of bytes, each over all rows. A task keeps k rows per
-query, and one shuffle of those finds each query's best.
+The queries go out in passes of a bounded number of bytes, each over all rows; no more than one pass is held on the driver. A task keeps k rows per
+query, and one shuffle of those finds each query's best. Tables of bounds have a bounded number of cells.
 
 Defined cases: vectors null, or with null or non-finite components, and rows without id take no part; rows that bear the query's id are its
 own and no candidates; otherwise repeated rows each count; among rows of one query id the least vector is the query;
@@ -28,10 +30,11 @@ SCALE = 256
 K = 5
 EVERY = 50
 SEGMENTS = (4, 16)
-PASS_BYTES = 16 << 20
+PASS_BYTES = 64 << 20
 #: Whole-number sums below this are exact in a double.
 EXACT = 2.0**52
-ROWS = 4096
+#: Pairs of a query and a row whose bounds are held at once, and that are scored at once.
+CELLS, PAIRS = 1 << 21, 1 << 17
 
 
 def whole_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -40,13 +43,20 @@ def whole_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return vectors.where(good).select(F.col("vec_id").cast("long"), F.expr(f"transform(embedding, x -> CASE WHEN abs({scale} * double(x)) < {EXACT} THEN double(floor({scale} * double(x))) ELSE {scale} * double(x) END)").alias("v"))
 
 
+def levels(n: int) -> list[int]:
+    """Numbers of segments for vectors of n components, each level finer, the last before single components."""
+    out = list(SEGMENTS)
+    while out[-1] * 2 < n:
+        out.append(out[-1] * 2)
+    return [p for p in out if p < n]
+
+
 def statistics(x: np.ndarray, parts: int) -> np.ndarray:
     """Means and deviations of the segments of each row, each times the root of the segment's length."""
     out = []
-    for seg in np.array_split(x, min(parts, max(1, x.shape[1])), axis=1):
-        if seg.shape[1]:
-            out += [seg.mean(1) * seg.shape[1] ** 0.5, seg.std(1) * seg.shape[1] ** 0.5]
-    return np.stack(out, 1) if out else np.zeros((len(x), 1))
+    for seg in np.array_split(x, parts, axis=1):
+        out += [seg.mean(1) * seg.shape[1] ** 0.5, seg.std(1) * seg.shape[1] ** 0.5]
+    return np.stack(out, 1)
 
 
 class Best:
@@ -55,8 +65,12 @@ class Best:
     def __init__(self, n: int, k: int):
         self.k, self.floor = k, np.full(n, -np.inf)
         self.q, self.ids, self.scores = (np.zeros(0, np.int64) for _ in range(3))
+        self.scored = 0  # pairs scored exactly
 
     def add(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        self.scored += len(q)
+        worth = scores >= self.floor[q]
+        q, ids, scores = q[worth], ids[worth], scores[worth]
         q, ids, scores = (np.concatenate(x) for x in ((self.q, q), (self.ids, ids), (self.scores, scores)))
         order = np.lexsort((ids, -scores.astype(np.float64) if abs(scores).max(initial=0) < EXACT else ~scores, q))
         q, ids, scores = q[order], ids[order], scores[order]
@@ -76,26 +90,27 @@ def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _compare(best: Best, ids: np.ndarray, queries: np.ndarray, stats: list[np.ndarray], new_ids: np.ndarray, rows: np.ndarray) -> None:
-    bound = None
-    alive = ids[:, None] != new_ids[None, :]
+    """Takes into best what rows (with new_ids) bring to queries (with ids, and with stats of each level)."""
     slack = 1e-9 * np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1)[None, :] + 1e-6
-    for parts, own in zip(SEGMENTS, stats):
-        bound = own @ statistics(rows, parts).T + slack
-        alive &= bound >= best.floor[:, None]
+    bound = np.where(ids[:, None] != new_ids[None, :], np.inf, -np.inf)
+    for parts, own in zip(levels(rows.shape[1]), stats):
+        alive = (bound >= best.floor[:, None]) & (bound > -np.inf)
         if not alive.any():
             return
-    some = alive.any(0)
-    rows, new_ids, alive = rows[some], new_ids[some], alive[:, some]
-    small = abs(queries).max(initial=0) * abs(rows).max(initial=0) * max(1, rows.shape[1]) < EXACT
-    if small and alive.mean() > 0.05:  # many survive: one product of matrices is cheaper than pairs
-        scores = queries @ rows.T
-        q, c = np.nonzero(alive & (scores >= best.floor[:, None]))
-        best.add(q, new_ids[c], scores[q, c].astype(np.int64))
-    else:
-        q, c = np.nonzero(alive)
-        for at in range(0, len(q), 1 << 18):
-            some = slice(at, at + (1 << 18))
+        bound = np.where(alive, own @ statistics(rows, parts).T + slack, -np.inf)
+    order = np.argsort(-bound, axis=1, kind="stable")
+    done, width = 0, best.k
+    while done < len(rows):  # the most promising of each query first, until no bound reaches its floor
+        c = order[:, done : done + width].ravel()
+        q = np.repeat(np.arange(len(ids)), len(c) // len(ids))
+        worth = (bound[q, c] >= best.floor[q]) & (bound[q, c] > -np.inf)
+        if not worth.any():
+            return
+        q, c = q[worth], c[worth]
+        for at in range(0, len(q), PAIRS):
+            some = slice(at, at + PAIRS)
             best.add(q[some], new_ids[c[some]], _scores(queries[q[some]], rows[c[some]]))
+        done, width = done + width, 2 * width
 
 
 def search(vectors: DataFrame, is_query: object = None, k: int = K) -> DataFrame:
@@ -121,7 +136,7 @@ def _passes(queries: DataFrame) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]
     """The queries by length of vector, so many bytes at a time."""
     held: dict[int, tuple[list, list]] = {}
     size = 0
-    for row in queries.orderBy("vec_id").toLocalIterator(prefetchPartitions=False):
+    for row in queries.toLocalIterator(prefetchPartitions=False):
         v = np.array(row.v, np.float64)
         ids, vs = held.setdefault(len(v), ([], []))
         ids.append(row.vec_id)
@@ -138,7 +153,7 @@ def _one_pass(rows: DataFrame, part: list[tuple[np.ndarray, np.ndarray]], k: int
     shared = rows.sparkSession.sparkContext.broadcast(part)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = {x.shape[1]: (ids, x, [statistics(x, p) for p in SEGMENTS], Best(len(ids), k)) for ids, x in shared.value}
+        groups = {x.shape[1]: (ids, x, [statistics(x, p) for p in levels(x.shape[1])], Best(len(ids), k)) for ids, x in shared.value}
         for batch in batches:
             column = batch.column("v")
             lengths = np.diff(column.offsets.to_numpy())
@@ -149,7 +164,7 @@ def _one_pass(rows: DataFrame, part: list[tuple[np.ndarray, np.ndarray]], k: int
                     continue
                 ids, queries, stats, best = groups[n]
                 at = np.flatnonzero(lengths == n)
-                for some in np.array_split(at, max(1, -(-len(at) // ROWS))):
+                for some in np.array_split(at, -(-len(at) // max(1, min(CELLS // len(ids), len(at))))):
                     x = flat[begins[some][:, None] + np.arange(n)] if n else np.zeros((len(some), 0))
                     _compare(best, ids, queries, stats, new_ids[some], x)
         for ids, _, _, best in groups.values():

@@ -1,6 +1,7 @@
 """Top-k search, quality classifier, decontamination, licence and secret scans."""
 
 import hashlib
+import os
 import random
 import re
 import textwrap
@@ -35,6 +36,34 @@ def test_topk_fixture(spark, sf_dir):
     assert set(map(tuple, queries.op2_topk_search(spark, sf_dir).collect())) == brute_topk(rows)
 
 
+def scored(ids, x, every=50, tile=1000):
+    """The share of pairs that are scored exactly, with the rows a tile at a time."""
+    is_query = ids % every == 0
+    best = topk.Best(int(is_query.sum()), 5)
+    stats = [topk.statistics(x[is_query], p) for p in topk.levels(x.shape[1])]
+    for at in range(0, len(x), tile):
+        topk._compare(best, ids[is_query], x[is_query], stats, ids[at : at + tile], x[at : at + tile])
+    return best.scored / (is_query.sum() * len(x))
+
+
+def test_topk_prunes():
+    """Segments rule out over half of the pairs even of random directions, which have no structure, and nearly all of smooth vectors."""
+    rng = np.random.default_rng(1)
+    ids = np.arange(4000)
+    x = rng.normal(size=(4000, 64))
+    assert scored(ids, np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None])) < 0.5
+    smooth = rng.normal(size=(4000, 64)).cumsum(1)
+    assert scored(ids, np.floor(256 * smooth)) < 0.02
+
+
+def test_topk_prunes_fixture(spark):
+    path = "/root/testdata/sf0.1"
+    if not os.path.isdir(path):
+        pytest.skip("no table here")
+    rows = topk.whole_vectors(table(spark, path, "embeddings")).collect()
+    assert scored(np.array([r.vec_id for r in rows]), np.array([r.v for r in rows])) < 0.5
+
+
 def test_topk_edges(spark, monkeypatch):
     rng = random.Random(7)
     rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(9)]) for i in range(120)]
