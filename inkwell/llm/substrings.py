@@ -11,10 +11,11 @@ equal anchors, and strings that start side by side mostly share one; the bytes u
 3. Documents with repeats are cut; all others are digested as they are.
 
 An anchor in a large part of all documents (say, in a short line that many hold) may have as many stretches as documents. Such
-anchors are looked for in a sample of SAMPLE documents; their strings then go each by itself, under its own hash. The
+anchors are looked for in a sample of SAMPLE documents or more; their strings then go each by itself, under its own hash. The
 sample decides only on the way, not on the result.
 
-Between tasks stretches travel as compressed columns, a packet for each task and shard.
+Between tasks stretches travel as compressed columns, a packet for each flush and receiver. Receivers are shards, or, where there
+are more than FAN shards, groups of them that send on to their shards; so a flush costs the same, however large the corpus.
 
 Defined cases: a null text is empty; rows equal in id and text are one document, listed so often; rows of one id with different texts are
 ordered by checksum; null ids come last; texts under `length` bytes keep all; an empty table gives no rows. Texts
@@ -37,14 +38,17 @@ from .common import cut
 LENGTH = 100
 GRAM = 32
 SAMPLE = 20_000
-#: An anchor is hot if it stands in more than this share of the sample, and in HOT_LEAST documents of it at least.
-HOT_SHARE, HOT_LEAST = 0.005, 200
+#: An anchor is hot if it stands in more than HOT_LEAST documents of the sample, which holds one of EVERY documents at least: so in about
+#: a million documents at most, however many there are.
+HOT_LEAST, EVERY = 200, 5000
 CHUNK = 1 << 20
 ANCHORS_PER_FLUSH = 1 << 18
+#: Most receivers of one flush; more shards than that are reached in two steps.
+FAN = 2048
 SHARD_BYTES = 2 << 20
 TEXT_PER_SHARD = 8 << 20
 POSITION = 24
-PLACE = "doc_id long, mark int, h long, low long, high long"
+PLACE = "doc_id long, mark long, h long, low long, high long"
 
 
 def anchors(raw: np.ndarray, valid: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,8 +172,36 @@ def _unpack(packet: bytes, columns: int) -> list[np.ndarray]:
     return [raw[i * 8 * n : (i + 1) * 8 * n].reshape(8, n).T.copy().view(np.int64).ravel() for i in range(columns)]
 
 
-def _stretches(length: int, gram: int, hot: np.ndarray, shards: int):
-    """shard, packet: the earliest stretches of a task by anchor, and its repeats (of length 0 and no g)."""
+def _packets(to: np.ndarray, key: np.ndarray, g: np.ndarray, no: np.ndarray, doc: np.ndarray, mark: np.ndarray, low: np.ndarray, high: np.ndarray, done: np.ndarray) -> pa.RecordBatch:
+    """shard, packet: the rows of each receiver."""
+    order = np.lexsort((low, mark, doc, to))
+    first = np.flatnonzero(_changes(to[order]))
+    packets = []
+    for x, y in zip(first, np.append(first[1:], len(order))):
+        r = order[x:y]
+        packets.append(_pack(np.where(done[r], 0, key[r]), np.where(done[r], 0, g[r]), np.diff(doc[r], prepend=0), mark[r], low[r], (high[r] - low[r]) << 2 | done[r].astype(np.int64) << 1 | no[r]))
+    return pa.RecordBatch.from_arrays([pa.array(to[order][first].astype(np.int32)), pa.array(packets, pa.binary())], names=["shard", "packet"])
+
+
+def _unpacked(packet: bytes) -> tuple[np.ndarray, ...]:
+    """key, g, no, doc, mark, low, high, done of a packet's rows."""
+    key, g, doc, mark, low, rest = _unpack(packet, 6)
+    return key, g, (rest & 1) > 0, np.cumsum(doc), mark, low, low + (rest >> 2), (rest & 2) > 0
+
+
+def shard_of(key: np.ndarray, done: np.ndarray, doc: np.ndarray, shards: int) -> np.ndarray:
+    """By anchor; what is done with goes anywhere."""
+    return (np.where(done, doc, key).view(np.uint64) % np.uint64(shards)).astype(np.int64)
+
+
+def groups_of(shards: int, fan: int = FAN) -> tuple[int, int]:
+    """(groups of shards, shards in a group), so that a flush has at most fan receivers in either step (for fan^2 shards)."""
+    each = -(-shards // fan)
+    return -(-shards // each), each
+
+
+def _stretches(length: int, gram: int, hot: np.ndarray, shards: int, each_group: int):
+    """shard (or group of shards), packet: the earliest stretches of a task by anchor, and its repeats (of length 0 and no g)."""
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         h, g, no, doc, mark, low, high = (np.concatenate(x) for x in zip(*held))
@@ -177,18 +209,8 @@ def _stretches(length: int, gram: int, hot: np.ndarray, shards: int):
         row, a, b = _runs((no, doc, mark), later, low, high)
         both = np.concatenate((lead, row))
         done = np.arange(len(both)) >= len(lead)
-        key = np.where(done, g[both], h[both])
-        low, high = np.concatenate((low[lead], a)), np.concatenate((high[lead], b))
-        shard = (key.view(np.uint64) % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((low, mark[both], doc[both], shard))
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        packets = []
-        for s, (x, y) in enumerate(zip(cuts, cuts[1:])):
-            if x < y:
-                r = order[x:y]
-                d = doc[both][r]
-                packets.append((s, _pack(np.where(done[r], 0, key[r]), np.where(done[r], 0, g[both][r]), np.diff(d, prepend=0), mark[both][r].astype(np.int64), low[r], (high[r] - low[r]) << 2 | done[r].astype(np.int64) << 1 | no[both][r])))
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in packets], pa.int32()), pa.array([p for _, p in packets], pa.binary())], names=["shard", "packet"])
+        to = shard_of(h[both], done, doc[both], shards) // each_group
+        return _packets(to, h[both], g[both], no[both], doc[both], mark[both], np.concatenate((low[lead], a)), np.concatenate((high[lead], b)), done)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -217,15 +239,39 @@ def _stretches(length: int, gram: int, hot: np.ndarray, shards: int):
     return each
 
 
+def _regrouped(shards: int):
+    """shard, packet: the rows of packets for groups of shards, for the shards themselves."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            key, g, no, doc, mark, low, high, done = (np.concatenate(x) for x in zip(*held))
+            return _packets(shard_of(key, done, doc, shards), key, g, no, doc, mark, low, high, done)
+
+        for batch in batches:
+            for packet in batch.column("packet"):
+                held.append(_unpacked(packet.as_py()))
+                size += len(held[-1][0])
+                if size >= ANCHORS_PER_FLUSH:
+                    yield flush()
+                    held.clear()
+                    size = 0
+        if held:
+            yield flush()
+
+    return each
+
+
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """PLACE of each shard's repeats (h null), and of the stretches whose bytes must be compared (h their anchor)."""
-    by_shard: dict[int, list[list[np.ndarray]]] = {}  # a shard is sized to be held
+    by_shard: dict[int, list[tuple[np.ndarray, ...]]] = {}  # a shard is sized to be held
     for batch in batches:
         for shard, packet in zip(batch.column("shard").to_pylist(), batch.column("packet")):
-            by_shard.setdefault(shard, []).append(_unpack(packet.as_py(), 6))
+            by_shard.setdefault(shard, []).append(_unpacked(packet.as_py()))
     for shard in sorted(by_shard):
-        key, g, doc, mark, low, rest = (np.concatenate(x) for x in zip(*[(p[0], p[1], np.cumsum(p[2]), *p[3:]) for p in by_shard.pop(shard)]))
-        high, done, no = low + (rest >> 2), (rest & 2) > 0, (rest & 1) > 0
+        key, g, no, doc, mark, low, high, done = (np.concatenate(x) for x in zip(*by_shard.pop(shard)))
         heads = np.flatnonzero(~done)
         lead, later = (heads[x] for x in _earliest((key[heads], g[heads]), (no[heads], doc[heads], mark[heads], low[heads])))
         _, which, count = np.unique(key[lead], return_inverse=True, return_counts=True)
@@ -233,7 +279,7 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, a, b = _runs((no, doc, mark), np.concatenate((np.flatnonzero(done), later)), low, high)
         rows = np.concatenate((row, mixed))
         h = pa.array(key[rows], pa.int64(), mask=np.arange(len(rows)) < len(row))
-        columns = [_ids(no[rows], doc[rows]), pa.array(mark[rows], pa.int32()), h, pa.array(np.concatenate((a, low[mixed]))), pa.array(np.concatenate((b, high[mixed])))]
+        columns = [_ids(no[rows], doc[rows]), pa.array(mark[rows], pa.int64()), h, pa.array(np.concatenate((a, low[mixed]))), pa.array(np.concatenate((b, high[mixed])))]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "h", "low", "high"])
 
 
@@ -245,11 +291,10 @@ def _bytes_of(length: int):
             rows, h, low, found = [], [], [], []
             for i, (text, places) in enumerate(zip(_texts(batch), batch.column("places"))):
                 for p in places.as_py():
-                    if p["h"] is not None:
-                        rows.append(i)
-                        h.append(p["h"])
-                        low.append(p["low"])
-                        found.append(text[p["low"] : p["high"] + length - 1])
+                    rows.append(i)
+                    h.append(p["h"])
+                    low.append(p["low"])
+                    found.append(text[p["low"] : p["high"] + length - 1])
             at = pa.array(rows, pa.int64())
             columns = [pa.array(h, pa.int64()), batch.column("doc_id").take(at), batch.column("mark").take(at), pa.array(low, pa.int64()), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["h", "doc_id", "mark", "low", "stretch"])
@@ -271,13 +316,13 @@ def _compared(length: int):
         _, later = _earliest((kind,), (no[text], doc[text], mark[text], start))
         row, low, high = _runs((text,), later, start, start + 1)
         row = text[row]
-        yield pa.RecordBatch.from_arrays([_ids(no[row], doc[row]), pa.array(mark[row], pa.int32()), pa.nulls(len(row), pa.int64()), pa.array(low), pa.array(high)], names=["doc_id", "mark", "h", "low", "high"])
+        yield pa.RecordBatch.from_arrays([_ids(no[row], doc[row]), pa.array(mark[row], pa.int64()), pa.nulls(len(row), pa.int64()), pa.array(low), pa.array(high)], names=["doc_id", "mark", "h", "low", "high"])
 
     return each
 
 
-def _hot_anchors(texts: DataFrame, n_docs: int, length: int, gram: int, share: float, least: int) -> np.ndarray:
-    """The anchors that stand in a large part of a sample of documents: at most as many as fit into 1 / share texts."""
+def _hot_anchors(texts: DataFrame, n_docs: int, length: int, gram: int, least: int) -> np.ndarray:
+    """The anchors in more than least documents of a sample: 8 bytes for each, and no more than the sample's anchors / least."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,11 +331,10 @@ def _hot_anchors(texts: DataFrame, n_docs: int, length: int, gram: int, share: f
                 pairs = np.unique(np.stack([h, text[first]]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0])], names=["h"])
 
-    every = max(1, n_docs // SAMPLE)
+    every = max(1, min(n_docs // SAMPLE, EVERY))
     some = texts.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(every)) == 0)
     counted = some.mapInArrow(each, "h long").groupBy("h").count()
-    bound = max(least, share * n_docs / every)
-    return np.array([r.h for r in counted.where(F.col("count") > bound).collect()], np.int64)
+    return np.array([r.h for r in counted.where(F.col("count") > least).collect()], np.int64)
 
 
 def _cut_rows(length: int):
@@ -300,7 +344,7 @@ def _cut_rows(length: int):
             for text, places in zip(batch.column("text"), batch.column("places")):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 merged: list[list[int]] = []
-                for low, high in sorted((r["low"], r["high"] + length - 1) for r in places.as_py() if r["h"] is None):
+                for low, high in sorted((r["low"], r["high"] + length - 1) for r in places.as_py()):
                     if merged and low <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], high)
                     else:
@@ -328,30 +372,33 @@ def _by_document(places: DataFrame, name: str) -> DataFrame:
     return grouped.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), name).hint("merge")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_share: float = HOT_SHARE, hot_least: int = HOT_LEAST) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_least: int = HOT_LEAST, fan: int = FAN, text_per_shard: int = TEXT_PER_SHARD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs (doc_id, text)."""
     raw = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    mark = F.hash(raw, F.lit(length))
-    texts = docs.select(F.col("doc_id").cast("long"), raw.alias("text"), mark.alias("mark"))
+    texts = docs.select(F.col("doc_id").cast("long"), raw.alias("text"), F.xxhash64(raw).alias("mark"))
     slim = cut(texts.select("doc_id", "mark", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), small=True)
     n_docs, n_bytes = slim.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
-    hot = _hot_anchors(texts, n_docs, length, gram, hot_share, hot_least)
+    hot = _hot_anchors(texts, n_docs, length, gram, hot_least)
 
     # 1. stretches by hash
-    shards = int(n_bytes // TEXT_PER_SHARD) + 1
-    found = texts.mapInArrow(_stretches(length, gram, hot, shards), "shard int, packet binary")
-    places = cut(found.repartitionById(shards, "shard").mapInArrow(_sorted_out, PLACE), free=True)
+    shards = int(n_bytes // text_per_shard) + 1
+    groups, each_group = groups_of(shards, fan)
+    found = texts.mapInArrow(_stretches(length, gram, hot, shards, each_group), "shard int, packet binary").repartitionById(groups, "shard")
+    if each_group > 1:
+        found = found.mapInArrow(_regrouped(shards), "shard int, packet binary").repartitionById(shards, "shard")
+    places = cut(found.mapInArrow(_sorted_out, PLACE), free=True)
 
     # 2. stretches by their bytes, where they differ
-    part = cut(texts.join(_by_document(places, "places"), _same(texts)).select("doc_id", "mark", "text", "places"), free=True)
-    size = places.where("h is not null").agg(F.coalesce(F.sum(F.col("high") - F.col("low") + length), F.lit(0))).first()[0]
-    stretches = part.where(F.exists("places", lambda p: p["h"].isNotNull())).mapInArrow(_bytes_of(length), "h long, doc_id long, mark int, low long, stretch binary")
+    open_ = places.where("h is not null")
+    size = open_.agg(F.coalesce(F.sum(F.col("high") - F.col("low") + length), F.lit(0))).first()[0]
+    part = texts.join(_by_document(open_, "places"), _same(texts)).select("doc_id", "mark", "text", "places")
+    stretches = part.mapInArrow(_bytes_of(length), "h long, doc_id long, mark long, low long, stretch binary")
     more = cut(stretches.repartition(int(size // SHARD_BYTES) + 1, "h").mapInArrow(_compared(length), PLACE), free=True, small=True)
 
     # 3. what is left
-    both = part.join(_by_document(more, "more"), _same(part), "left")
-    joined = both.select("doc_id", "mark", "text", F.when(F.col("more").isNull(), F.col("places")).otherwise(F.concat("places", "more")).alias("places"))
-    cuts = joined.mapInArrow(_cut_rows(length), "doc_id long, mark int, n_removed long, n_spans long, kept_sha256 string")
+    repeats = places.where("h is null").unionByName(more)
+    joined = texts.join(_by_document(repeats, "places"), _same(texts)).select("doc_id", "mark", "text", "places")
+    cuts = joined.mapInArrow(_cut_rows(length), "doc_id long, mark long, n_removed long, n_spans long, kept_sha256 string")
     cuts = cuts.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "n_removed", "n_spans", "kept_sha256").dropDuplicates(["_d", "_m"])
     rows = slim.join(cuts.hint("merge"), _same(slim), "left")
     zero = F.lit(0).cast("long")

@@ -1,14 +1,22 @@
-"""Suffix arrays by induced sorting, over whole batches of numbers at a time.
+"""Suffix arrays by induced sorting, and permuted common prefixes.
 
 Suffixes are smaller (S) or larger (L) than the one after them; the leftmost S of each run are sorted by their substrings, ranked
-recursively where those are alike, and the order of all others follows by induction, one bucket of equal first bytes
-after another. All entries of a bucket are placed at once, so the work is array operations in proportion to the length.
+recursively where those are alike, and the order of all others follows by induction from the smallest bucket to the largest and back. Where buckets
+are few and large, as for bytes, all entries of a bucket are placed at once; where they are many and small, as for the names
+of substrings, entries are placed one after another. Either way the work is in proportion to the length.
+
+The common prefix of a suffix with the one before it in order is one less than that of its left neighbour in the text, unless
+the two are preceded by different symbols (irreducible); only irreducible ones are compared, and their sum is small (Kärkkäinen,
+Manzini and Puglisi 2009).
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Symbols in a bucket on average, from which buckets are placed at once.
+LARGE_BUCKETS = 256
+
 
 def _types(s: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next; the last is."""
@@ -76,56 +84,53 @@ def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, ends: np.ndarra
     return sa
 
 
-def _ranked(names: np.ndarray) -> np.ndarray:
-    """Suffix array of a string over a large alphabet, by doubling of the compared length; what is told apart rests."""
-    n = len(names)
-    order = np.argsort(names, kind="stable")
-    rank = np.empty(n, np.int64)  # the place of the first of those that are alike so far
-    new = np.ones(n, bool)
-    new[1:] = names[order][1:] != names[order][:-1]
-    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
-    k = 1
-    while True:
-        single = new.copy()
-        single[:-1] &= new[1:]
-        at = np.flatnonzero(~single)  # places that aren't settled
-        if not len(at):
-            return order
-        who = order[at]
-        ahead = who + k
-        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        key = rank[who] * np.int64(n + 2) + second
-        by = np.argsort(key)
-        key, who = key[by], who[by]
-        order[at] = who
-        differ = np.ones(len(at), bool)
-        differ[1:] = key[1:] != key[:-1]
-        new[at] = differ
-        rank[who] = at[np.flatnonzero(differ)][np.cumsum(differ) - 1]
-        k *= 2
-
-
-def suffix_array(s: np.ndarray, sigma: int, direct: int = 4096) -> np.ndarray:
+def _induce_singly(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same as _induce, one suffix after another."""
+    text, is_small = s.tolist(), small.tolist()
+    sa = [-1] * len(text)
+    tails = ends.tolist()
+    for i in seeds[::-1].tolist():
+        c = text[i]
+        tails[c] -= 1
+        sa[tails[c]] = i
+    heads = [0, *ends[:-1].tolist()]
+    for i in sa:  # sees what is placed on the way
+        if i > 0 and not is_small[i - 1]:
+            c = text[i - 1]
+            sa[heads[c]] = i - 1
+            heads[c] += 1
+    tails = ends.tolist()
+    for at in range(len(text) - 1, -1, -1):
+        i = sa[at]
+        if i > 0 and is_small[i - 1]:
+            c = text[i - 1]
+            tails[c] -= 1
+            sa[tails[c]] = i - 1
+    return np.array(sa)
+
+
+def suffix_array(s: np.ndarray, sigma: int, large: int = LARGE_BUCKETS) -> np.ndarray:
     """Suffix array of s, whose values are below sigma and whose last value is 0 and occurs nowhere else."""
     n = len(s)
     if n < 3:
         return np.argsort(s, kind="stable") if n < 2 or s[0] != s[1] else np.arange(n)[::-1]
-    if sigma > direct:
-        return _ranked(s)
-    s = s.astype(np.uint16)  # numpy sorts numbers of 16 bits by radix
+    if sigma <= 1 << 16:
+        s = s.astype(np.uint16)  # numpy sorts numbers of 16 bits by radix
     small = _types(s)
     left = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     ends = np.cumsum(np.bincount(s, minlength=sigma))
-    sa = _induce(s, small, left, ends)
+    induce = _induce if sigma * large <= n else _induce_singly
+    sa = induce(s, small, left, ends)
     is_left = np.zeros(n, bool)
     is_left[left] = True
     order = sa[is_left[sa]]
     names = _names(s, left, order)
-    if names[-1] + 1 < len(order):
-        rank_of = np.empty(n, np.int64)
-        rank_of[order] = names
-        order = left[suffix_array(rank_of[left], int(names[-1]) + 1, direct)]
-    return _induce(s, small, order, ends)
+    if names[-1] + 1 == len(order):
+        return induce(s, small, order, ends)
+    rank_of = np.empty(n, np.int64)
+    rank_of[order] = names
+    order = left[suffix_array(rank_of[left], int(names[-1]) + 1, large)]
+    return induce(s, small, order, ends)
 
 
 def _names(s: np.ndarray, left: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -151,11 +156,44 @@ def words_at(raw: np.ndarray) -> np.ndarray:
     return np.ndarray(max(0, len(raw) - 7), "<u8", raw.data, strides=(1,)).copy() if len(raw) > 7 else np.zeros(0, np.uint64)
 
 
-def repeats(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, offset, class) of every stretch of so many bytes within a text, length 8 or more; equal stretches share a class.
+def common_prefixes(raw: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """For each suffix of raw, in the order of the text, how many symbols it shares with the one before it in sa (0 for the first)."""
+    n = len(raw)
+    phi = np.full(n, -1, np.int64)
+    phi[sa[1:]] = sa[:-1]
+    irreducible = np.ones(n, bool)
+    here = np.arange(1, n)
+    irreducible[1:] = (phi[1:] <= 0) | (phi[:-1] < 0) | (raw[here - 1] != raw[phi[1:] - 1])
+    at = np.flatnonzero(irreducible & (phi >= 0))
+    other, shared = phi[at], np.zeros(len(at), np.int64)
+    eight = words_at(np.concatenate((raw, np.zeros(16, np.uint8))))
+    open_ = np.arange(len(at))
+    while len(open_) > 64:  # eight bytes of all at a time
+        a, b = at[open_] + shared[open_], other[open_] + shared[open_]
+        differ = eight[a] ^ eight[b]
+        bits = differ & (~differ + np.uint64(1))  # the lowest bit in which they differ
+        same = np.where(differ == 0, 8, np.log2(np.maximum(bits, np.uint64(1)).astype(np.float64)).astype(np.int64) // 8)
+        same = np.minimum(same, n - np.maximum(a, b))
+        shared[open_] += same
+        open_ = open_[same == 8]
+    for k in open_.tolist():  # the few long ones, in stretches that grow
+        a, b, step = int(at[k] + shared[k]), int(other[k] + shared[k]), 64
+        while True:
+            x, y = raw[a : a + step], raw[b : b + step]
+            m = min(len(x), len(y))
+            differ = np.flatnonzero(x[:m] != y[:m])
+            shared[k] += differ[0] if len(differ) else m
+            if len(differ) or m < step:
+                break
+            a, b, step = a + m, b + m, min(step * 2, 1 << 16)
+    last = np.maximum.accumulate(np.where(irreducible, np.arange(n), 0))
+    value = np.zeros(n, np.int64)
+    value[at] = shared
+    return np.maximum(value[last] - (np.arange(n) - last), 0)
 
-    The common prefixes of neighbours in the suffix array are compared in the order of the text, as far as the length asks.
-    """
+
+def repeats(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, offset, class) of every stretch of so many bytes within a text; equal stretches share a class."""
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     begins = np.cumsum(sizes) - sizes
     raw = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)  # no UTF-8 text holds that byte
@@ -165,20 +203,8 @@ def repeats(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     s[:-1][begins + sizes - 1] = 1
     s[-1] = 0
     sa = suffix_array(s, 258)[1:]
+    kind = np.cumsum(common_prefixes(raw, sa)[sa] < length)
     owner = np.repeat(np.arange(len(texts)), sizes)
     offset = np.arange(len(raw)) - begins[owner]
-    whole = offset + length <= sizes[owner] - 1
-    sa = sa[whole[sa]]
-    if not len(sa):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    phi = np.full(len(raw), -1, np.int64)
-    phi[sa[1:]] = sa[:-1]
-    here = np.flatnonzero(phi >= 0)
-    before, eight = phi[here], words_at(raw)
-    shared = np.ones(len(here), bool)
-    for o in sorted({*range(0, length - 7, 8), length - 8}):
-        some = np.flatnonzero(shared)
-        shared[some] = eight[here[some] + o] == eight[before[some] + o]
-    plcp = np.zeros(len(raw), bool)
-    plcp[here[shared]] = True
-    return owner[sa], offset[sa], np.cumsum(~plcp[sa])
+    whole = (offset + length <= sizes[owner] - 1)[sa]
+    return owner[sa[whole]], offset[sa[whole]], kind[whole]

@@ -206,7 +206,29 @@ def test_band_recall():
 def test_suffix_array(values):
     a = [*values, 0]
     assert suffixes.suffix_array(np.array(a), 4).tolist() == sorted(range(len(a)), key=lambda i: a[i:])
-    assert suffixes.suffix_array(np.array(a), 4, direct=1).tolist() == sorted(range(len(a)), key=lambda i: a[i:])
+    assert suffixes.suffix_array(np.array(a), 4, large=10**9).tolist() == sorted(range(len(a)), key=lambda i: a[i:])
+    sa = suffixes.suffix_array(np.array(a), 4, large=0)
+    assert sa.tolist() == sorted(range(len(a)), key=lambda i: a[i:])
+    raw = np.array(values, np.uint8)
+    order = sa[1:]
+    want = {int(b): next((k for k in range(len(values)) if a + k >= len(values) or b + k >= len(values) or values[a + k] != values[b + k]), 0) for a, b in zip(order[:-1], order[1:])}
+    assert suffixes.common_prefixes(raw, order).tolist() == [want.get(i, 0) for i in range(len(values))]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_suffix_array_of_long_texts(seed):
+    """Several levels of recursion, with names by the thousand, and long common prefixes."""
+    rng = random.Random(seed)
+    words = [bytes(rng.choices(b"abcde", k=rng.randrange(2, 9))) for _ in range(300)]
+    text = b" ".join(rng.choices(words, k=4000))
+    text += text[:9000] + b"a" * 500 + text[3000:6000]
+    s = np.append(np.frombuffer(text, np.uint8).astype(np.int64) + 1, 0)
+    sa = suffixes.suffix_array(s, 258)
+    assert sa.tolist() == sorted(range(len(s)), key=lambda i: text[i:])
+    lcp = suffixes.common_prefixes(np.frombuffer(text, np.uint8), sa[1:])
+    for a, b in list(zip(sa[1:-1].tolist(), sa[2:].tolist()))[:: 1 + seed]:
+        n = int(lcp[b])
+        assert text[a : a + n] == text[b : b + n] and text[a + n : a + n + 1] != text[b + n : b + n + 1]
 
 
 @settings(max_examples=100, deadline=None)
@@ -245,10 +267,9 @@ def test_repeats_contract(spark, docs_of, hot, monkeypatch):
     rows = [(i, letters(rng.randrange(0, 300)) + rng.choice(shared) + letters(rng.randrange(0, 200)) + rng.choice(shared)) for i in range(60)]
     rows += [(70, "ab" * 300), (71, "a" * 99), (72, "a" * 100), (73, "a" * 101), (74, "a" * 5000), (75, None), (76, ""), (77, shared[5]), (78, shared[5]), (79, rows[3][1]), (80, rows[3][1]), (80, rows[3][1]), (None, rows[5][1]), (None, None), (81, rows[7][1][:-1] + "z")]
     if hot:
-        args = {"hot_share": 0.0, "hot_least": 3}
+        args = {"hot_least": 3}
     else:
-        args = {}
-        monkeypatch.setattr(substrings, "TEXT_PER_SHARD", 3000)
+        args = {"text_per_shard": 3000, "fan": 3}
         monkeypatch.setattr(substrings, "SHARD_BYTES", 2000)
     got = substrings.remove_repeats(docs_of(rows), **args).collect()
     assert Counter(map(tuple, got)) == brute_repeats(rows)
@@ -289,6 +310,26 @@ def test_packets(rows):
     assert x.tolist() == a.tolist() and y.tolist() == b.tolist()
 
 
+def test_flush_costs_the_same_at_every_size():
+    """A flush reaches a bounded number of receivers, and a row takes as many bytes, whether there are 64 shards or those of 100 TB."""
+    rng = np.random.default_rng(0)
+    n = 1 << 16
+    key, g, doc, mark = (rng.integers(-(2**62), 2**62, n) for _ in range(4))
+    doc = np.sort(np.abs(doc) % 10_000)
+    low = rng.integers(0, 2000, n)
+    done, no = rng.random(n) < 0.2, np.zeros(n, bool)
+    sizes = []
+    for shards in (64, 1_500, 120_000, 4_000_000):
+        groups, each = substrings.groups_of(shards, 512 if shards < 200_000 else 2048)
+        to = substrings.shard_of(key, done, doc, shards) // each
+        out = substrings._packets(to, key, g, no, doc, mark, low, low + 9, done)
+        assert out.num_rows <= groups <= 2048
+        back = [substrings._unpacked(p.as_py()) for p in out.column("packet")]
+        assert sum(len(b[0]) for b in back) == n and {int(m) for b in back for m in b[4]} == set(mark.tolist())
+        sizes.append(sum(len(p.as_py()) for p in out.column("packet")) / n)
+    assert max(sizes) < 1.25 * min(sizes)
+
+
 def test_pipeline_stage_by_stage(spark, sf_dir):
     import corpus_pipeline as P
 
