@@ -86,8 +86,11 @@ def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, ends: np.ndarra
 
 def _induce_singly(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The same as _induce, one suffix after another."""
-    text, is_small = s.tolist(), small.tolist()
-    sa = [-1] * len(text)
+    n = len(s)
+    before = np.append(np.append(-1, s[:-1]), -1).astype(np.int64)  # the symbol before, if it has its place yet to find; n stands for none
+    after_small = np.append(np.append(False, small[:-1]), False)
+    text, large_before, small_before = s.tolist(), np.where(after_small, -1, before).tolist(), np.where(after_small, before, -1).tolist()
+    sa = [n] * n
     tails = ends.tolist()
     for i in seeds[::-1].tolist():
         c = text[i]
@@ -95,20 +98,46 @@ def _induce_singly(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, ends: np
         sa[tails[c]] = i
     heads = [0, *ends[:-1].tolist()]
     for i in sa:  # sees what is placed on the way
-        if i > 0 and not is_small[i - 1]:
-            c = text[i - 1]
+        c = large_before[i]
+        if c >= 0:
             sa[heads[c]] = i - 1
             heads[c] += 1
     tails = ends.tolist()
-    for at in range(len(text) - 1, -1, -1):
+    for at in range(n - 1, -1, -1):
         i = sa[at]
-        if i > 0 and is_small[i - 1]:
-            c = text[i - 1]
+        c = small_before[i]
+        if c >= 0:
             tails[c] -= 1
             sa[tails[c]] = i - 1
     return np.array(sa)
 
 
+def _sorted_substrings(s: np.ndarray, small: np.ndarray, left: np.ndarray, rounds: int = 64) -> tuple[np.ndarray, np.ndarray] | None:
+    """(leftmost S suffixes in order of their substrings, names), a symbol at a time of those still alike; None if that takes too long."""
+    key = s.astype(np.int64) * 2 + small  # of equal symbols, those that begin larger suffixes come first
+    size = np.append(left[1:], len(s) - 1) - left
+    rank, active, wide = np.zeros(len(left), np.int64), np.arange(len(left)), int(key.max()) + 1
+    for o in range(rounds):
+        both = rank[active] * wide + key[left[active] + o]
+        order = np.argsort(both, kind="stable")
+        active, both = active[order], both[order]
+        new = np.ones(len(active), bool)
+        new[1:] = both[1:] != both[:-1]
+        first = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        old = rank[active]
+        begin = np.ones(len(active), bool)
+        begin[1:] = old[1:] != old[:-1]
+        base = np.flatnonzero(begin)[np.cumsum(begin) - 1]  # where the wider group began among the active
+        rank[active] = old + first[group] - base
+        alone = np.diff(np.append(first, len(active)))[group] == 1
+        active = active[~alone & (size[active] > o)]
+        if not len(active):
+            order = np.argsort(rank, kind="stable")
+            return left[order], np.cumsum(np.concatenate(([0], rank[order][1:] != rank[order][:-1])))
+    return None
+
+
 def suffix_array(s: np.ndarray, sigma: int, large: int = LARGE_BUCKETS) -> np.ndarray:
     """Suffix array of s, whose values are below sigma and whose last value is 0 and occurs nowhere else."""
     n = len(s)
@@ -119,12 +148,17 @@ def suffix_array(s: np.ndarray, sigma: int, large: int = LARGE_BUCKETS) -> np.nd
     small = _types(s)
     left = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     ends = np.cumsum(np.bincount(s, minlength=sigma))
-    induce = _induce if sigma * large <= n else _induce_singly
-    sa = induce(s, small, left, ends)
-    is_left = np.zeros(n, bool)
-    is_left[left] = True
-    order = sa[is_left[sa]]
-    names = _names(s, left, order)
+    singly = sigma * large > n
+    induce = _induce_singly if singly else _induce
+    found = _sorted_substrings(s, small, left) if singly else None
+    if found:
+        order, names = found
+    else:
+        sa = induce(s, small, left, ends)
+        is_left = np.zeros(n, bool)
+        is_left[left] = True
+        order = sa[is_left[sa]]
+        names = _names(s, left, order)
     if names[-1] + 1 == len(order):
         return induce(s, small, order, ends)
     rank_of = np.empty(n, np.int64)
