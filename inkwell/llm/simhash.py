@@ -30,7 +30,7 @@ BITS = 64
 SHINGLE = 4
 WITHIN = 4
 PARTS = 6
-HOT = 4096
+HOT = 64
 STRIDE = 1 << 15
 
 
@@ -98,7 +98,7 @@ def _signed(mask: int) -> int:
 
 
 def linked(fps: DataFrame, within: int = WITHIN, parts: int = PARTS, hot: int = HOT) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct values of fp within so many bits; each pair at least once."""
+    """Pairs (a, b), a < b, of distinct values of fp within so many bits; each pair at least once, and once only outside of hot buckets."""
     if parts - 2 < within:
         raise ValueError("two segments must stay free of differences: parts - 2 >= within")
     segs = _segments(range(BITS), parts)
@@ -120,8 +120,10 @@ def linked(fps: DataFrame, within: int = WITHIN, parts: int = PARTS, hot: int =
 
     def pairs(df: DataFrame, on: list[str]) -> DataFrame:
         x = F.col("a").bitwiseXOR(F.col("b"))
+        first = F.coalesce(*[F.when(x.bitwiseAND(F.lit(_signed(whole[a] | whole[b]))) == 0, k) for k, (a, b) in enumerate(combinations(range(parts), 2))])
         both = df.withColumnRenamed("fp", "a").join(df.withColumnRenamed("fp", "b"), on)
-        return both.where((F.col("a") < F.col("b")) & ring_chain(x, parts, within) & (F.bit_count(x) <= within)).select("a", "b")
+        near = (F.col("a") < F.col("b")) & ring_chain(x, parts, within) & (F.bit_count(x) <= within)
+        return both.where(near & (F.col("k") == first)).select("a", "b")  # once, by the first key that agrees
 
     return pairs(few, ["k", "key"]).unionByName(pairs(many, ["k", "key", "j", "rest"]))
 
