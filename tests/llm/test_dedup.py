@@ -16,12 +16,12 @@ from inkwell.llm import paragraphs, queries, simhash, substrings, suffixes
 from inkwell.llm.common import table
 
 
-def plain_fingerprint(text):
+def plain_fingerprint(text, n=4):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", low)
     if not words:
         return 0
-    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), 42) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + n]).encode(), 42) for i in range(max(1, len(words) - n + 1))]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
@@ -348,7 +348,7 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
     good = {r.doc_id for r in quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).collect() if r.predicted}
     first, second, third, mixed = (rows(n) for n in names[:4])
     assert {r[0] for r in first} == good and all(raw[r[0]] == r[1] for r in first)
-    fp = {r[0]: plain_fingerprint(r[1]) for r in first}
+    fp = {r[0]: plain_fingerprint(r[1], 5) for r in first}
     root = grouped(sorted(set(fp.values())), lambda a, b: (a ^ b).bit_count() <= 4)
     assert {r[0] for r in second} == {min(d for d in fp if root[fp[d]] == g) for g in set(root.values())}
     items = [decontaminate.plain(r.text) for r in table(spark, sf_dir, "benchmark").collect()]
@@ -361,6 +361,22 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
         df.unpersist()
 
 
+def test_pipeline_with_null_and_empty_rows(spark, docs_of, tmp_path):
+    """Nulls in any column, empty texts, repeated rows and an empty table pass through every stage."""
+    import corpus_pipeline as P
+
+    good = "the of and in that with by on one more sentence of plain words that says nothing twice."
+    rows = [(1, good, "a"), (1, good, "a"), (2, None, "a"), (3, "", None), (None, good + " again", None), (None, None, None), (4, " \n ", "b"), (5, good + " " + " ".join(f"w{i}" for i in range(3000)), "b")]
+    for name, table_rows in (("full", rows), ("empty", [])):
+        folder = str(tmp_path / name)
+        docs_of(table_rows).select(*P.COLUMNS).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, None), (2, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, None), (None, "w7 w8 w9 w10 w11 w12 w13"), (2, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = P.run(spark, folder).collect()
+        assert {r.doc_id for r in got} <= {r[0] for r in table_rows} and 5 not in {r.doc_id for r in got}
+        assert len({r.slot for r in got}) <= len(got) and (got or not table_rows)
+
+
 def test_pipeline_stages_read_what_was_written(spark, sf_dir, monkeypatch):
     import corpus_pipeline as P
 
