@@ -22,8 +22,8 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that SimHash fingerprints link: the one with the smallest id."""
-    return simhash.keep_one(docs.select(*COLUMNS))
+    """Keeps one document of each group that SimHash fingerprints of five-word shingles link: the one with the smallest id."""
+    return simhash.keep_one(docs.select(*COLUMNS), words=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes of each document, once for every time it takes them."""
+    """The words that each output shard of the mix takes of each document, once for every time it takes them."""
     return mixing.mixed_texts(docs.select(*COLUMNS))
 
 
