@@ -1,6 +1,6 @@
 """python -m inkwell ROOT COMMAND ...: a thin command line over a store.
 
-reindex | size | search QUERY [keyword|hybrid|full_text] [PAGE] | latest [PAGE] | random N | purge QUEUE | num_messages QUEUE | peek QUEUE
+enqueue FEEDS QUEUE | scrape QUEUE PAGES ROBOTS | all FEEDS QUEUE PAGES ROBOTS | reindex | size | search QUERY [keyword|hybrid|full_text] [PAGE] | latest [PAGE] | random N | purge QUEUE | num_messages QUEUE | peek QUEUE
 """
 
 from __future__ import annotations
@@ -8,16 +8,34 @@ from __future__ import annotations
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from .operators.search import Engine, Page
+from .operators.search import Engine, Page, first_rows
+from .operators import crawl
 from .sources import queue
+from .sources.schemas import SKIPPED_URLS
 from .sources.store import Store
 
 
 def show(page: Page) -> None:
     print(f"{page.total} results, page {page.page} of {page.total_pages}")
-    for r in page.results.limit(5).collect():
-        print(f"- {r.title[:60]}  {r.url}")
+    for r in first_rows(page).collect():
+        print(f"- {r.title}  {r.url}")
+
+
+def enqueue(engine: Engine, feeds: str, path: str) -> None:
+    """Fetched feeds (feed_url, xml) to messages of what is new."""
+    spark = engine.spark
+    queue.purge(spark, path)
+    queue.send(crawl.enqueue(spark.read.parquet(feeds), engine.pages, engine.store.read("skipped_urls", SKIPPED_URLS)), path)
+
+
+def scrape(engine: Engine, path: str, fetched: str, robots: str) -> None:
+    """All messages of a queue, with fetched pages (url, html) and robots files (base_url, robots)."""
+    spark = engine.spark
+    messages = queue.receive(spark, path).withColumn("message_id", F.xxhash64("urls"))
+    crawl.keep(engine.store, crawl.scrape(messages, spark.read.parquet(fetched), spark.read.parquet(robots)))
+    queue.purge(spark, path)
 
 
 def main(args: list[str]) -> int:
@@ -27,7 +45,14 @@ def main(args: list[str]) -> int:
     root, command, *rest = args
     spark = SparkSession.builder.appName("inkwell").getOrCreate()
     engine = Engine(Store(spark, root))
-    if command == "reindex":
+    if command == "enqueue" and len(rest) == 2:
+        enqueue(engine, *rest)
+    elif command == "scrape" and len(rest) == 3:
+        scrape(engine, *rest)
+    elif command == "all" and len(rest) == 4:
+        enqueue(engine, *rest[:2])
+        scrape(engine, *rest[1:])
+    elif command == "reindex":
         engine.reindex()
     elif command == "size":
         print(engine.size())

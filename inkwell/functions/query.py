@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from . import text as T
 
 SITE = r'(?i)\bsite:([^\s"]+)'
+#: The same for columns, where white space and word bounds are those of ASCII unless asked otherwise.
+SITE_COLUMN = "(?U)" + SITE
 #: What isn't part of a domain.
 ODD = r"[^\w.-]+"
 PHRASE = r'"([^"]+)"'
@@ -19,12 +21,12 @@ PHRASE = r'"([^"]+)"'
 
 def sites(query: Column) -> Column:
     """Domains of the site: terms, of letters, digits, dot, dash and underscore; empty ones dropped."""
-    found = F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(SITE), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(SITE_COLUMN), F.lit(1))
     return F.filter(F.transform(found, lambda d: F.regexp_replace(d, ODD, "")), lambda d: d != "")
 
 
 def without_sites(query: Column) -> Column:
-    return F.regexp_replace(F.coalesce(query, F.lit("")), SITE, "")
+    return F.regexp_replace(F.coalesce(query, F.lit("")), SITE_COLUMN, "")
 
 
 def phrases(query: Column) -> Column:

@@ -9,13 +9,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stem import STOP, stem
 from ..sources.store import Store
 
+PART_BYTES = 128 << 20
+KNOWN_STEMS = 1 << 19
+
 
 def documents(pages: DataFrame) -> DataFrame:
     """The search documents of pages with a text: id as text, empty strings for a missing title or url."""
@@ -48,28 +52,33 @@ def keyword_postings(pages: DataFrame, terms: list[str] | None = None) -> DataFr
 
 def keyword_stats(pages: DataFrame) -> DataFrame:
     """One row: n_docs, title_length and text_length on average."""
-    good = pages.where(~T.is_blank(F.col("text")))
-    size = lambda f: F.avg(F.size(T.tokens(F.coalesce(F.col(f), F.lit("")))))
-    return good.agg(F.count("*").alias("n_docs"), size("title").alias("title_length"), size("text").alias("text_length"))
+    return stats(lengths(pages))
 
 
 def text_postings(pages: DataFrame, stemmed: bool = True, terms: list[str] | None = None) -> DataFrame:
-    """term, id, positions over title and text as one stream. Stems are found once for each word of the vocabulary."""
+    """term, id, positions over title and text as one stream. Stop words go, and words become stems, before anything is shuffled."""
     whole = F.concat(F.col("title"), F.lit(" "), F.col("text"))
     rows = pages.select("id", T.tokens(whole).alias("tokens")).where(F.col("tokens").isNotNull())
-    spelled = _spelled(rows, ["id"], terms if not stemmed else None)
     if stemmed:
-        vocabulary = spelled.select("term").distinct().mapInArrow(_stems, "term string, stem string")
-        spelled = spelled.join(vocabulary.hint("merge"), "term").select("id", F.col("stem").alias("term"), "position")
-        if terms is not None:
-            spelled = spelled.where(F.col("term").isin(terms))
+        rows = rows.mapInArrow(_stems, "id long, tokens array<string>")
+    spelled = _spelled(rows, ["id"], terms).where(F.col("term").isNotNull())
     return spelled.groupBy("term", "id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
 
 
 def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, tokens: stems in place of words, null in place of stop words. A word is stemmed once a batch, and remembered for a while."""
+    known: dict[str, str | None] = {}
     for batch in batches:
-        kept = [w for w in batch.column("term").to_pylist() if w not in STOP]
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([stem(w) for w in kept], pa.string())], names=["term", "stem"])
+        lists = batch.column("tokens")
+        words = lists.flatten().dictionary_encode()
+        if len(known) > KNOWN_STEMS:
+            known.clear()
+        for w in words.dictionary.to_pylist():
+            if w not in known:
+                known[w] = None if w in STOP else stem(w)
+        stems = pa.array([known[w] for w in words.dictionary.to_pylist()], pa.string()).take(words.indices)
+        offsets = pa.compute.subtract(lists.offsets, lists.offsets[0])
+        yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.ListArray.from_arrays(offsets, stems)], names=["id", "tokens"])
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
@@ -82,11 +91,45 @@ def _sorted(postings: DataFrame, parts: int) -> DataFrame:
     return postings.repartitionByRange(parts, "term", "id").sortWithinPartitions("term", "id")
 
 
-def build(store: Store, pages: DataFrame, parts: int = 8) -> None:
+def _parts(pages: DataFrame) -> int:
+    """Files of an index table: one for so many bytes of text, eight at least."""
+    size = pages.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(8, -(-size // PART_BYTES))
+
+
+def upsert(store: Store, pages: DataFrame) -> None:
+    """Index tables with the rows of a batch of pages in place of those with their ids; costs a pass over the tables a batch, and no tokenising but the batch's."""
+    ids = pages.select(F.col("id").cast("long").alias("_id")).distinct()
+    for name, rows in (("documents_index", documents(pages)), ("keyword_postings", keyword_postings(pages)), ("text_postings", text_postings(pages)), ("lengths", lengths(pages))):
+        old = store.read(name)
+        stays = old.join(ids, old["id"].cast("long") == ids["_id"], "left_anti")
+        both = stays.unionByName(rows)
+        store.overwrite(name, _sorted(both, _parts_of(store, name)) if "term" in both.columns else both)
+    store.overwrite("keyword_stats", stats(store.read("lengths")))
+
+
+def _parts_of(store: Store, name: str) -> int:
+    return max(8, len(store.read(name).inputFiles()))
+
+
+def lengths(pages: DataFrame) -> DataFrame:
+    """id, title_length, text_length in tokens of pages with a text."""
+    size = lambda f: F.size(T.tokens(F.coalesce(F.col(f), F.lit("")))).alias(f"{f}_length")
+    return pages.where(~T.is_blank(F.col("text"))).select(F.col("id").cast("long").alias("id"), size("title"), size("text"))
+
+
+def stats(found: DataFrame) -> DataFrame:
+    """One row: n_docs, title_length and text_length on average."""
+    return found.agg(F.count("*").alias("n_docs"), F.avg("title_length").alias("title_length"), F.avg("text_length").alias("text_length"))
+
+
+def build(store: Store, pages: DataFrame, parts: int | None = None) -> None:
     """Writes all index tables anew; pages has id, title, url, date, text, scraped_on_date. A term in very many pages fills several parts."""
+    parts = parts or _parts(pages)
     store.overwrite("documents_index", documents(pages))
     store.overwrite("keyword_postings", _sorted(keyword_postings(pages), parts))
-    store.overwrite("keyword_stats", keyword_stats(pages))
+    store.overwrite("lengths", lengths(pages))
+    store.overwrite("keyword_stats", stats(store.read("lengths")))
     store.overwrite("text_postings", _sorted(text_postings(pages), parts))
 
 
@@ -102,10 +145,3 @@ def analysed(stemmed: bool = True):
 
     return run
 
-
-def open_index(spark: SparkSession, root: str) -> Store:
-    return Store(spark, root)
-
-
-def in_terms(terms: list[str], column: str = "term") -> Column:
-    return F.col(column).isin(terms)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from .numbering import in_order
 
 PER_FEED = 30
 MIN_WORDS = 100
@@ -76,14 +77,14 @@ def backoff(attempts: DataFrame, group: str, seq: str, failed: Column, pause: in
     return out.withColumn("wait_seconds", F.when(F.col("run") >= 2, 3 * pause).otherwise(pause))
 
 
-def gate(extracted: DataFrame, least: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(pages, skipped) of functions.html.extract's rows: skipped has stripped_url and reason. Failed and empty extractions are in neither."""
+def gate(extracted: DataFrame, least: int = MIN_WORDS, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(pages, skipped) of functions.html.extract's rows, with the columns keep: skipped has stripped_url and reason. Failed and empty extractions are in neither."""
     read = extracted.where(~F.col("failed"))
     few = T.word_count(F.col("text")) < least
     reason = F.when(~F.col("readable"), "not_readerable").when(F.col("text").isNotNull() & few, "too_short")
     marked = read.withColumn("reason", reason)
-    skipped = marked.where(F.col("reason").isNotNull()).select(U.stripped(U.clean(F.col("page_url"))).alias("stripped_url"), "reason")
-    pages = marked.where(F.col("reason").isNull() & F.col("text").isNotNull()).select("id", "title", U.clean(F.col("url")).alias("url"), "fingerprint", "date", "text")
+    skipped = marked.where(F.col("reason").isNotNull()).select(U.stripped(U.clean(F.col("page_url"))).alias("stripped_url"), "reason", *keep)
+    pages = marked.where(F.col("reason").isNull() & F.col("text").isNotNull()).select("id", "title", U.clean(F.col("url")).alias("url"), "fingerprint", "date", "text", *keep)
     return pages, skipped.where(F.coalesce(F.col("stripped_url"), F.lit("")) != "")
 
 
@@ -132,9 +133,8 @@ def save_pages(stored: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFra
 
 def number(rows: DataFrame, stored: DataFrame, seq: str) -> DataFrame:
     """rows with ids after the largest that is stored, in order of seq; a batch is what one run brings in."""
-    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    numbered = rows.drop("id").withColumn("_n", F.row_number().over(Window.orderBy(seq)))
-    return numbered.join(F.broadcast(top), how="cross").withColumn("id", (F.col("_top") + F.col("_n")).cast("long")).drop("_top", "_n")
+    top = stored.agg(F.max("id")).first()[0] or 0
+    return in_order(rows.drop("id"), seq, "id", top)
 
 
 def record_skipped(stored: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFrame:
@@ -146,5 +146,5 @@ def record_skipped(stored: DataFrame, batch: DataFrame, seq: str = "seq") -> Dat
 def log_rows(requests: DataFrame, next_id: int) -> DataFrame:
     """query_logs rows of requests (query, forwarded_for, peer, user_agent, timestamp): the forwarded address, else the peer's."""
     ip = F.coalesce(F.nullif(T.strip(F.col("forwarded_for")), F.lit("")), F.col("peer"))
-    n = F.row_number().over(Window.orderBy("timestamp"))
-    return requests.select((F.lit(next_id - 1) + n).cast("long").alias("id"), "query", ip.alias("ip_address"), "user_agent", "timestamp")
+    rows = requests.select("query", ip.alias("ip_address"), "user_agent", "timestamp")
+    return in_order(rows, "timestamp", "id", next_id - 1).select("id", "query", "ip_address", "user_agent", "timestamp")

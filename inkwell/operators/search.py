@@ -5,6 +5,7 @@ Errors are raised, not turned into empty results. Ties go to the smaller id.
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +55,11 @@ class Page:
         return rows.select(F.to_json(F.struct("results", F.lit(self.total).alias("total"), F.lit(self.page).alias("page"), F.lit(self.total_pages).alias("total_pages"))).alias("response"))
 
 
+def first_rows(page: Page, n: int = 5) -> DataFrame:
+    """title (60 characters), url of a page's first rows, as a shell shows them."""
+    return page.results.limit(n).select(F.left("title", F.lit(60)).alias("title"), "url")
+
+
 class Engine:
     def __init__(self, store: Store, min_score: float | None = MIN_SCORE):
         self.store, self.spark, self.min_score = store, store.spark, min_score
@@ -65,9 +71,13 @@ class Engine:
     def size(self) -> int:
         return self.pages.count()
 
-    def reindex(self, parts: int = 8) -> None:
+    def reindex(self, parts: int | None = None) -> None:
         index.build(self.store, self.pages, parts)
 
+    def index_pages(self, ids: DataFrame) -> None:
+        """Brings the index up to date with the pages whose id is in ids."""
+        index.upsert(self.store, self.pages.join(ids.select("id"), "id", "left_semi"))
+
     def _empty(self, page: int, per_page: int | None) -> Page:
         return Page(self.spark.createDataFrame([], ROW), 0, page, per_page, 0)
 
@@ -142,8 +152,10 @@ class Engine:
         page = max(1, min(page, LATEST_PAGES))
         return Page(shaped(latest(self.pages, page), 1500), LATEST_PAGES * PER_PAGE, page, PER_PAGE, LATEST_PAGES)
 
-    def random(self, r: int) -> DataFrame:
-        """The post with the smallest id from r on; r is drawn by the caller up to the largest id."""
+    def random(self, r: int | None = None) -> DataFrame:
+        """The post with the smallest id from r on; r is drawn up to the largest id, unless given. So there always is one, if there are any."""
+        if r is None:
+            r = random.randint(1, max(1, self.pages.agg(F.max("id")).first()[0] or 1))
         return shaped(self.pages.where(F.col("id") >= r).orderBy("id").limit(1), 1500)
 
     def log(self, query: str, forwarded_for: str | None, peer: str | None, user_agent: str | None) -> None:

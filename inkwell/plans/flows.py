@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import index, ingest
+from ..operators import crawl, index, ingest
 from ..sources import feeds, queue
 from ..sources.schemas import SKIPPED_URLS
-from ..sources.store import Store
+from ..sources.store import Store, shared_root
 from ..streaming import jobs
 from .registry import query, read, values
 from .scalars import _STRIP, CLEAN
@@ -154,6 +153,47 @@ def backoff_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.backoff(_events(spark, sf_dir), "user_id", "ts", F.expr(_FAILED)).select("event_id", "run", "wait_seconds")
 
 
+_FEED_SQL = f"""SELECT CAST(page_id // 50 AS VARCHAR) AS feed_url, u AS url FROM (SELECT page_id, {CLEAN} AS u FROM pages)
+WHERE u IS NOT NULL AND regexp_matches(lower(regexp_extract(u, '^https?://([^/?#]+)', 1)), '{U.VALID_HOST}')
+ AND NOT (regexp_matches(u, '{U.LOCAL}') OR regexp_matches(u, '{U.SECTION}') OR regexp_matches(u, '{U.LISTING}') OR regexp_matches(u, '{U.BARE}'))"""
+
+
+@query(
+    "enqueue_flow",
+    f"""WITH found AS (SELECT DISTINCT feed_url, url FROM ({_FEED_SQL})),
+fresh AS (SELECT feed_url, url, row_number() OVER (PARTITION BY feed_url ORDER BY url) AS n FROM found WHERE {_STRIP} NOT IN ({_SEEN}))
+SELECT feed_url, CAST(n - 1 AS INT) AS n, url FROM fresh WHERE n <= 30""",
+)
+def enqueue_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds of fifty pages each, to messages of what is new in them."""
+    item = F.concat(F.lit("<item><link>"), F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</link></item>"))
+    xml = F.concat(F.lit("<rss><channel><link>https://feed.example</link>"), F.array_join(F.sort_array(F.collect_list(item)), ""), F.lit("</channel></rss>"))
+    fetched = read(spark, sf_dir, "pages").groupBy(F.expr("CAST(page_id DIV 50 AS STRING)").alias("feed_url")).agg(xml.alias("xml"))
+    sent = crawl.enqueue(fetched, _known(spark, sf_dir), _skipped(spark, sf_dir))
+    return sent.select("feed_url", F.posexplode(F.from_json("message", "urls array<string>")["urls"]).alias("n", "url"))
+
+
+_ROBOTS = "User-agent: *\nDisallow: /fr/\nAllow: /\n\nUser-agent: BlogSearchBot\nAllow: /en/1\nDisallow: /en/\n"
+
+
+@query(
+    "scrape_flow",
+    r"""WITH p AS (SELECT page_id // 20 AS message_id, CAST(row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) - 1 AS INT) AS pos, url, page_id % 3 = 0 AS failed,
+ first_value(lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1))) OVER (PARTITION BY page_id // 20 ORDER BY page_id) AS base, '/' || regexp_extract(url, '^https?://[^/]+/(.*)$', 1) AS path FROM pages),
+r AS (SELECT *, length(base) % 2 = 0 AND starts_with(path, '/en/') AND NOT starts_with(path, '/en/1') AS blocked FROM p),
+t AS (SELECT *, coalesce(sum(CAST(failed AS INT)) OVER (PARTITION BY message_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS errors FROM r WHERE NOT blocked)
+SELECT message_id, pos AS "at", url, 'blocked' AS state FROM r WHERE blocked UNION ALL SELECT message_id, pos AS "at", url, CASE WHEN errors >= 4 THEN 'abandoned' WHEN failed THEN 'error' ELSE 'fetched' END FROM t""",
+)
+def scrape_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of twenty pages each, every third page of which can't be fetched, and robots files for some hosts."""
+    pages = read(spark, sf_dir, "pages")
+    urls = F.transform(F.sort_array(F.collect_list(F.struct("page_id", "url"))), lambda p: p["url"])
+    sent = pages.groupBy(F.expr("page_id DIV 20").alias("message_id")).agg(urls.alias("urls"))
+    fetched = pages.select("url", F.when(F.col("page_id") % 3 > 0, F.col("html")).alias("html"))
+    robots = pages.select(U.base(F.col("url")).alias("base_url")).distinct().where(F.length("base_url") % 2 == 0).withColumn("robots", F.lit(_ROBOTS))
+    return crawl.scrape(sent, fetched, robots).attempts
+
+
 @query("too_short", r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS INT) AS words FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) < 100")
 def too_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("words")).where(F.col("words") < ingest.MIN_WORDS)
@@ -162,7 +202,7 @@ def too_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "skip_upsert",
     """WITH s AS (SELECT source AS k, 'not_readerable' AS reason, -1 AS seq FROM documents GROUP BY source),
-b AS (SELECT CASE WHEN doc_id % 3 = 0 THEN source ELSE source || '/' || doc_id END AS k, CASE WHEN doc_id % 2 = 0 THEN 'too_short' ELSE 'not_readerable' END AS reason, doc_id AS seq FROM documents WHERE doc_id % 5 = 0)
+b AS (SELECT CASE WHEN doc_id % 3 = 0 THEN source ELSE source || '/' || doc_id END AS k, CASE WHEN doc_id % 2 = 0 THEN 'too_short' ELSE 'not_readerable' END AS reason, doc_id AS seq FROM documents)
 SELECT k AS stripped_url, arg_max(reason, seq) AS reason, CAST(CASE WHEN min(seq) = -1 THEN 1 ELSE 0 END AS INT) AS was_stored FROM (SELECT * FROM s UNION ALL SELECT * FROM b) GROUP BY k""",
 )
 def skip_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,11 +210,11 @@ def skip_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = F.to_timestamp(F.lit("2000-01-01"))
     stored = docs.select("source").distinct().select(F.col("source").alias("stripped_url"), F.lit("not_readerable").alias("reason"), old.alias("created_at"))
     key = F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")))
-    batch = docs.where("doc_id % 5 = 0").select(key.alias("stripped_url"), F.when(F.col("doc_id") % 2 == 0, "too_short").otherwise("not_readerable").alias("reason"), F.col("doc_id").alias("seq"))
+    batch = docs.select(key.alias("stripped_url"), F.when(F.col("doc_id") % 2 == 0, "too_short").otherwise("not_readerable").alias("reason"), F.col("doc_id").alias("seq"))
     return ingest.record_skipped(stored, batch).select("stripped_url", "reason", (F.col("created_at") == old).cast("int").alias("was_stored"))
 
 
-_PAGE_BATCH = "SELECT doc_id AS seq, CAST(doc_id % 400 AS VARCHAR) AS url, md5(text) AS fingerprint, left(text, 20) AS title FROM documents"
+_PAGE_BATCH = "SELECT doc_id AS seq, CAST(doc_id // 2 AS VARCHAR) AS url, md5(text) AS fingerprint, left(text, 20) AS title FROM documents"
 
 
 @query("page_upsert_lww", f"WITH b AS ({_PAGE_BATCH}) SELECT url, arg_max(fingerprint, seq) AS fingerprint, arg_max(title, seq) AS title FROM b GROUP BY url")
@@ -189,13 +229,13 @@ def fingerprint_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _page_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("seq"), (F.col("doc_id") % 400).cast("string").alias("url"), F.md5(F.col("text").cast("binary")).alias("fingerprint"), F.left("text", F.lit(20)).alias("title"), F.col("text"), F.lit(None).cast("date").alias("date"))
+    return docs.select(F.col("doc_id").alias("seq"), F.expr("CAST(doc_id DIV 2 AS STRING) AS url"), F.md5(F.col("text").cast("binary")).alias("fingerprint"), F.left("text", F.lit(20)).alias("title"), F.col("text"), F.lit(None).cast("date").alias("date"))
 
 
 @query(
     "save_pages",
-    f"""WITH b AS ({_PAGE_BATCH}), l AS (SELECT url, max(seq) AS seq, arg_max(fingerprint, seq) AS fingerprint FROM b WHERE seq % 3 > 0 GROUP BY url),
-old AS (SELECT row_number() OVER (ORDER BY url) AS id, url, fingerprint FROM (SELECT url, min(fingerprint) AS fingerprint FROM b WHERE seq % 3 = 0 AND seq < 300 GROUP BY url)),
+    f"""WITH b AS ({_PAGE_BATCH}), l AS (SELECT url, max(seq) AS seq, arg_max(fingerprint, seq) AS fingerprint FROM b GROUP BY url),
+old AS (SELECT row_number() OVER (ORDER BY url) AS id, url, fingerprint FROM (SELECT CAST(seq // 3 * 2 AS VARCHAR) AS url, min(CASE WHEN seq % 5 = 0 THEN fingerprint ELSE md5(fingerprint) END) AS fingerprint FROM b GROUP BY 1)),
 stored AS (SELECT id, url, fingerprint FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY id) AS n FROM old) WHERE n = 1),
 free AS (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.fingerprint = l.fingerprint AND s.url <> l.url)),
 good AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY seq) AS n FROM free) WHERE n = 1),
@@ -203,12 +243,14 @@ fresh AS (SELECT (SELECT max(id) FROM stored) + row_number() OVER (ORDER BY seq)
 SELECT CAST(id AS BIGINT) AS id, url, fingerprint FROM fresh UNION ALL SELECT CAST(s.id AS BIGINT), s.url, coalesce(g.fingerprint, s.fingerprint) FROM stored s LEFT JOIN good g USING (url)""",
 )
 def save_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as first versions, then all as a batch: some of its urls are stored, some are new, some fingerprints belong to others."""
     b = _page_batch(spark, sf_dir)
-    old = b.where("seq % 3 = 0 and seq < 300").groupBy("url").agg(F.min("fingerprint").alias("fingerprint"))
+    first = F.when(F.col("seq") % 5 == 0, F.col("fingerprint")).otherwise(F.md5(F.col("fingerprint").cast("binary")))
+    old = b.groupBy(F.expr("CAST(seq DIV 3 * 2 AS STRING)").alias("url")).agg(F.min(first).alias("fingerprint"))
     numbered = ingest.number(old.withColumn("id", F.lit(0)), old.limit(0).withColumn("id", F.lit(0)), "url")
     none = F.lit(None).cast("string")
     stored = ingest.first_by(numbered, "fingerprint", "id").select("id", none.alias("title"), "url", "fingerprint", F.lit(None).cast("date").alias("date"), none.alias("text"), F.lit(None).cast("timestamp").alias("scraped_on_date"))
-    return ingest.save_pages(stored, b.where("seq % 3 > 0")).select("id", "url", "fingerprint")
+    return ingest.save_pages(stored, b).select("id", "url", "fingerprint")
 
 
 @query("reindex_projection", "SELECT CAST(doc_id AS VARCHAR) AS id, split_part(text, chr(10), 1) AS title, '' AS url, text FROM documents WHERE trim(text) <> ''")
@@ -242,10 +284,8 @@ def page_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> Store:
-    """A store for one query's state: below spark.checkpoint.dir, or a folder of our own where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkwell-")
-    s = Store(spark, root)
-    return Store(spark, s.scratch())
+    """A store for one query's state, below the folder that all executors share."""
+    return Store(spark, Store(spark, shared_root(spark)).scratch())
 
 
 @query("stream_seen_dedupe", f"SELECT {_STRIP} AS stripped_url, min(url) AS url FROM pages WHERE {_STRIP} NOT IN (SELECT {_STRIP} FROM pages WHERE page_id % 2 = 0) GROUP BY 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import query as Q
 from ..functions import urls as U
 from ..operators import index, rank, search
-from ..sources.store import Store
+from ..sources.schemas import RESPONSE
+from ..sources.store import Store, shared_root
 from .registry import query, read, values
 
 RARE, COMMON = ["esat", "the"], ["the", "and"]
@@ -87,23 +88,48 @@ FROM (SELECT hits.id, score, title, text, list_filter(regexp_split_to_array(text
 WHERE score >= 1.0 AND contains('https://s' || (hits.id % 5) || '.example.com/' || hits.id || '/', 's1.example.com') ORDER BY score DESC, hits.id LIMIT 6)"""
 
 
-@query("engine_keyword_page", _bm25_sql(["on", "thea"]) + " " + _SHAPED.replace("SELECT id, title,", "SELECT title,"))
-def engine_keyword_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of results from index tables that are built for it, with a site filter."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkwell-")
+@functools.cache
+def _built(app: str, sf_dir: str, root: str) -> Store:
+    """The store of posts of one folder of tables, with its index, made once a session."""
+    spark = SparkSession.active()
     store = Store(spark, Store(spark, root).scratch())
+    store.overwrite("pages", _pages(_posts(spark, sf_dir)))
+    index.build(store, store.read("pages"))
+    return store
+
+
+def _pages(posts: DataFrame) -> DataFrame:
     url = F.concat(F.lit("https://s"), (F.col("id") % 5).cast("string"), F.lit(".example.com/"), F.col("id").cast("string"), F.lit("/"))
     none = F.lit(None).cast("string")
-    pages = _posts(spark, sf_dir).select("id", "title", url.alias("url"), none.alias("fingerprint"), F.lit(None).cast("date").alias("date"), "text", F.lit(None).cast("timestamp").alias("scraped_on_date"))
-    store.overwrite("pages", pages)
+    return posts.select("id", "title", url.alias("url"), none.alias("fingerprint"), F.lit(None).cast("date").alias("date"), "text", F.lit(None).cast("timestamp").alias("scraped_on_date"))
+
+
+def _engine(spark: SparkSession, sf_dir: str) -> search.Engine:
+    return search.Engine(_built(spark.sparkContext.applicationId, sf_dir, shared_root(spark)))
+
+
+@query("engine_keyword_page", _bm25_sql(["on", "thea"]) + " " + _SHAPED.replace("SELECT id, title,", "SELECT title,"))
+def engine_keyword_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of results from index tables, with a site filter."""
+    return _engine(spark, sf_dir).keyword("on thea site:s1.example.com").results.select("title", "url", "text")
+
+
+@query("index_upsert", _bm25_sql(["on", "thea"]) + " " + _SHAPED.replace("SELECT id, title,", "SELECT title,"))
+def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same page from an index that first held an older text of every post, and every second post alone; a batch brought it up to date."""
+    store = Store(spark, Store(spark, shared_root(spark)).scratch())
+    posts = _posts(spark, sf_dir)
+    store.overwrite("pages", _pages(posts.where("id % 2 = 0").withColumn("text", F.concat(F.lit("on on thea "), F.reverse("text")))))
     engine = search.Engine(store)
     engine.reindex()
+    store.overwrite("pages", _pages(posts))
+    engine.index_pages(posts)
     return engine.keyword("on thea site:s1.example.com").results.select("title", "url", "text")
 
 
 @query("empty_query", "SELECT '' AS title, '' AS url, DATE '2000-01-01' AS date, '' AS text WHERE false")
 def empty_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([], search.ROW)
+    return _engine(spark, sf_dir).search(" \t ").results
 
 
 @query("site_filter_and", "SELECT page_id, url FROM pages WHERE contains(url, 'example.com') AND contains(url, '/fr/')")
@@ -111,11 +137,9 @@ def site_filter_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", "url").where(search.site_filter(["example.com", "/fr/"]))
 
 
-@query("site_only_page", "SELECT page_id, url, 1.0::DOUBLE AS score FROM pages WHERE contains(url, 'example.com') ORDER BY page_id LIMIT 6")
+@query("site_only_page", "SELECT split_part(text, chr(10), 1) AS title, 'https://s1.example.com/' || doc_id AS url FROM documents WHERE doc_id % 5 = 1 AND trim(text) <> '' ORDER BY doc_id LIMIT 6")
 def site_only_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, sites, _ = Q.parse("site:example.com")
-    hits = read(spark, sf_dir, "pages").select("page_id", "url").where(search.site_filter(sites)).withColumn("score", F.lit(1.0))
-    return hits.where(F.col("score") >= search.MIN_SCORE).orderBy("page_id").limit(6)
+    return _engine(spark, sf_dir).keyword("site:s1.example.com").results.select("title", "url")
 
 
 def _matched(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -166,13 +190,13 @@ def fts_cover_rank_top24(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts with the day of the event that bears their id, where there is one."""
     days = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.to_date("ts").alias("date"))
-    posts = _posts(spark, sf_dir).where("id % 4 > 0")
+    posts = _posts(spark, sf_dir)
     return posts.join(days, "id", "left").withColumn("url", F.concat(F.lit("https://a.example.com/"), F.col("id").cast("string"), F.lit("/")))
 
 
 def _latest_sql(offset: int) -> str:
     return f"""SELECT doc_id AS id, e.date, 'https://a.example.com/' || doc_id AS url FROM documents d JOIN (SELECT event_id, CAST(ts AS DATE) AS date FROM events) e ON d.doc_id = e.event_id
-WHERE doc_id % 4 > 0 ORDER BY date DESC, id LIMIT 6 OFFSET {offset}"""
+ORDER BY date DESC, id LIMIT 6 OFFSET {offset}"""
 
 
 @query("latest_p1", _latest_sql(0))
@@ -185,25 +209,24 @@ def latest_p9_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.latest(_dated(spark, sf_dir), 9).select("id", "date", U.without_slash(F.col("url")).alias("url"))
 
 
-@query("random_seeded", "SELECT doc_id AS id FROM documents WHERE doc_id >= 123 ORDER BY doc_id LIMIT 1")
+@query("random_seeded", "SELECT split_part(text, chr(10), 1) AS title, 'https://s' || (doc_id % 5) || '.example.com/' || doc_id AS url FROM documents WHERE doc_id >= 123 ORDER BY doc_id LIMIT 1")
 def random_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _posts(spark, sf_dir).where(F.col("id") >= 123).orderBy("id").limit(1).select("id")
+    return _engine(spark, sf_dir).random(123).select("title", "url")
 
 
-@query("cli_first5", "SELECT doc_id AS id, left(split_part(text, chr(10), 1), 60) AS title FROM documents ORDER BY doc_id LIMIT 5")
+@query("cli_first5", _bm25_sql(["on", "thea"]) + " SELECT left(title, 60) AS title, 'https://s' || (hits.id % 5) || '.example.com/' || hits.id AS url FROM hits JOIN posts ON hits.id = posts.id WHERE score >= 1.0 ORDER BY score DESC, hits.id LIMIT 5")
 def cli_first5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _posts(spark, sf_dir).orderBy("id").limit(5).select("id", F.left("title", F.lit(60)).alias("title"))
+    return search.first_rows(_engine(spark, sf_dir).keyword("on thea"))
 
 
-@query("api_payload", "SELECT CAST(count(*) AS BIGINT) AS total, CAST((count(*) + 5) // 6 AS BIGINT) AS total_pages FROM documents WHERE contains(text, 'MIT License')")
+@query("api_payload", _bm25_sql(["on", "thea"]) + " SELECT count(*) AS total, (count(*) + 5) // 6 AS total_pages, least(6, count(*)) AS rows FROM hits WHERE score >= 1.0")
 def api_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A response's JSON, written and read again."""
-    hits = read(spark, sf_dir, "documents").where(F.col("text").contains("MIT License")).agg(F.count("*").alias("total"))
-    sent = hits.select(F.to_json(F.struct("total", F.floor((F.col("total") + 5) / 6).alias("total_pages"))).alias("body"))
-    back = sent.select(F.from_json("body", "total long, total_pages long").alias("r"))
-    return back.select("r.total", "r.total_pages")
+    """The response's JSON, read again."""
+    back = _engine(spark, sf_dir).api(" on thea ").select(F.from_json("response", RESPONSE).alias("r"))
+    return back.select("r.total", F.col("r.total_pages").cast("long").alias("total_pages"), F.size("r.results").cast("long").alias("rows"))
 
 
-@query("scores_by_mode", "SELECT m, CASE WHEN m = 'keyword' THEN 'keyword' ELSE 'hybrid' END AS runs FROM (VALUES ('keyword'), ('hybrid'), ('x')) t(m)")
+@query("scores_by_mode", _bm25_sql(["on", "thea"]) + " SELECT m, total FROM (VALUES ('keyword'), ('hybrid'), ('x')) t(m), (SELECT count(*) AS total FROM hits WHERE score >= 1.0)")
 def scores_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, "m string", ("keyword",), ("hybrid",), ("x",)).select("m", F.when(F.col("m") == "keyword", "keyword").otherwise("hybrid").alias("runs"))
+    engine = _engine(spark, sf_dir)
+    return values(spark, "m string, total long", *[(m, engine.search("on thea", m).total) for m in ("keyword", "hybrid", "x")])

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .schemas import MESSAGE
 
 
-def messages(urls: DataFrame, group: str, url: str = "url") -> DataFrame:
-    """group, message: the addresses of each group as JSON, in order; a group without any has no message."""
-    listed = urls.where(F.col(url).isNotNull()).groupBy(group).agg(F.sort_array(F.collect_list(url)).alias("urls"))
+MOST = 30
+
+
+def messages(urls: DataFrame, group: str, url: str = "url", most: int = MOST) -> DataFrame:
+    """group, message: the addresses of each group as JSON, in order, so many to a message; a group without any has no message."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(url)) - 1
+    numbered = urls.where(F.col(url).isNotNull()).select(group, url, F.floor(place / most).alias("_part"))
+    listed = numbered.groupBy(group, "_part").agg(F.sort_array(F.collect_list(url)).alias("urls"))
     return listed.select(group, F.to_json(F.struct("urls")).alias("message"))
 
 

@@ -6,7 +6,9 @@ Parquet tables have no MERGE, so an upsert writes what stays and what is new as
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -14,6 +16,14 @@ from pyspark.sql import types as T
 MARK = "_current"
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share, spark.checkpoint.dir; where that is unset, a new one, on a single machine only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return root or tempfile.mkdtemp(prefix="inkwell-")
+
+
 class Store:
     """Named tables under one root on any file system that Hadoop reads."""
 
@@ -61,6 +71,19 @@ class Store:
         else:
             df.write.mode("append").parquet(self.path(name))
 
+    def put(self, name: str, batch: int, df: DataFrame) -> None:
+        """df as a batch beside the table, in place of an earlier one of that number."""
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/_batches/{batch}.parquet")
+
+    def merge(self, name: str, schema: T.StructType | str, reduced: Callable[[DataFrame], DataFrame]) -> None:
+        """The table and all batches beside it, reduced, as the next version; then the batches go. What is cut short is merged by the next run."""
+        fs, p = self._fs(f"{self.root}/{name}/_batches")
+        if fs.exists(p):
+            found = [s.getPath().toString() for s in fs.listStatus(p)]
+            rows = self.spark.read.schema(schema).parquet(*found)
+            self.overwrite(name, reduced(self.read(name, schema).unionByName(rows)))
+            fs.delete(p, True)
+
     def scratch(self) -> str:
         """A folder for a query's own state."""
         return f"{self.root}/_scratch-{uuid.uuid4().hex}"

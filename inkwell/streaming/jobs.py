@@ -1,7 +1,7 @@
 """Structured Streaming: messages against what is known, idempotent upserts, and the query log.
 
 Each job runs over what there is and ends; the checkpoint stands in for receipts, so a batch that fails is done again,
-and doing it again changes nothing.
+and doing it again changes nothing. Batches are put beside the table, each by its number, and merged into it once, when the job ends.
 """
 
 from __future__ import annotations
@@ -34,16 +34,16 @@ def run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: s
 
 
 def collect_new(urls: DataFrame, store: Store, name: str, seen: DataFrame, checkpoint: str) -> DataFrame:
-    """stripped_url, url: the first address of each stripped form that isn't in seen; the table name grows batch by batch."""
+    """stripped_url, url: the first address of each stripped form that isn't in seen; those go to the table name."""
     schema = "stripped_url string, url string"
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, n: int) -> None:
         keyed = batch.where(F.col("url").isNotNull()).select(U.stripped(F.col("url")).alias("stripped_url"), "url")
         fresh = keyed.join(seen, "stripped_url", "left_anti").groupBy("stripped_url").agg(F.min("url").alias("url"))
-        both = store.read(name, schema).unionByName(fresh).groupBy("stripped_url").agg(F.min("url").alias("url"))
-        store.overwrite(name, both)
+        store.put(name, n, fresh)
 
     run(urls, each, checkpoint)
+    store.merge(name, schema, lambda rows: rows.groupBy("stripped_url").agg(F.min("url").alias("url")))
     return store.read(name, schema)
 
 
@@ -51,10 +51,11 @@ def upsert_stream(rows: DataFrame, store: Store, name: str, key: str, seq: str,
     """The table name with the row of the largest seq per key; later batches win only with a larger seq, so a repeated batch is harmless."""
     schema = rows.schema
 
-    def each(batch: DataFrame, _: int) -> None:
-        store.overwrite(name, ingest.last_by(store.read(name, schema).unionByName(batch), key, seq))
+    def each(batch: DataFrame, n: int) -> None:
+        store.put(name, n, ingest.last_by(batch, key, seq))
 
     run(rows, each, checkpoint)
+    store.merge(name, schema, lambda found: ingest.last_by(found, key, seq))
     return store.read(name, schema)
 
 
