@@ -5,7 +5,7 @@ Cut into k + 1 pieces, at least one piece stands there unchanged: an Aho-Corasic
 and Myers' bit-parallel distance decides about the stretch around each. Texts and items are compared in lower case with
 single spaces.
 
-The items are read in blocks of a bounded number of characters, each held against all documents.
+The items are read in blocks of a bounded number of characters, each held against all documents; documents are dropped once, after the last.
 
 An item of under `least` words says too little to be told with changes: it is searched for exactly, at word bounds. In scripts
 without spaces each character counts as a word, and has a bound on either side.
@@ -188,15 +188,26 @@ def find_hits(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int = LEAST_WORDS) -> DataFrame:
     """The rows of docs in which no item stands, with all their columns."""
-    schema, out, first = docs.schema, docs, True
-    for block in item_blocks(items):
 
-        def each(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
+    def scan(block: list, wanted: bool):
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             get = _local(block, rate, least)
             for batch in batches:
                 known = get()
-                yield batch.filter(pa.array([not known.find(plain(x.as_py())) for x in batch.column("text")], pa.bool_()))
+                yield batch.filter(pa.array([bool(known.find(plain(x.as_py()))) == wanted for x in batch.column("text")], pa.bool_()))
 
-        out = (out if first else cut(out)).mapInArrow(each, schema)
-        first = False
-    return out
+        return each
+
+    last, hits = None, None
+    text = F.col("text").cast("string")
+    for block in item_blocks(items):
+        if last is not None:  # several blocks: what the earlier ones find is kept as checksums of texts, and taken out at the end
+            found = docs.select(text.alias("text")).mapInArrow(scan(last, True), "text string")
+            found = cut(found.select(F.md5(F.col("text").cast("binary")).alias("_found")).distinct(), small=True)
+            hits = found if hits is None else hits.unionByName(found)
+        last = block
+    if last is None:
+        return docs
+    if hits is not None:
+        docs = docs.join(hits.distinct(), F.md5(text.cast("binary")).eqNullSafe(F.col("_found")), "left_anti")
+    return docs.mapInArrow(scan(last, False), docs.schema)

@@ -1,11 +1,13 @@
 """Sharding and mixing."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from inkwell.llm import mixing, sharding
 from inkwell.llm.mixing import permuted
@@ -32,6 +34,40 @@ def test_sharding_contract(spark, docs_of):
     assert Counter(map(str, again)) == Counter(map(str, got))
 
 
+def spark_hash(*parts):
+    """Spark's xxhash64 of texts and whole numbers, signed."""
+    h = 42
+    for p in parts:
+        h = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else p.to_bytes(8, "little", signed=True), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def brute_shard(key, node, path=""):
+    """One descent of the tree, draw by draw."""
+    total = lambda x: float(x) if not isinstance(x, dict) else sum(map(total, x.values()))
+    kids = [(k, v) for k, v in node.items() if total(v) > 0]
+    draw = lambda k, v: math.log((((spark_hash(key, f"{path}/{k}") % 2**64) >> 11) + 0.5) / 2**53) / total(v)
+    k, v = kids[0] if len(kids) == 1 else max(kids, key=lambda kid: draw(*kid))
+    return brute_shard(key, v, f"{path}/{k}") if isinstance(v, dict) else k
+
+
+def test_sharding_by_hand(spark, docs_of):
+    """All of the result from a second implementation, one document after another."""
+    tree = {"g0": {"k0": {0: 1.0, 1: 2.5}, "k1": {2: 0.0, 3: 1.0}}, "g1": {"k0": {4: 3.0}}, "g2": {"k0": {5: 0.0}}}
+    for small, grown in ((balanced(16), balanced(17)), (tree, tree)):
+        found = []
+        for d, t in ROWS:
+            key, crc = "null" if d is None else str(d), zlib.crc32((t or "").encode())
+            shard = brute_shard(key, small)
+            found.append((shard, spark_hash(key, "slot", crc) % 1024, (d is not None, d or 0), len((t or "").encode()) + 1, crc, brute_shard(key, grown), d))
+        want, at = Counter(), Counter()
+        for shard, _, _, size, crc, more, d in sorted(found, key=lambda x: x[:5]):
+            want[d, size, crc, "key", shard, at[shard], more] += 1
+            at[shard] += 1
+        got = sharding.shard_documents(docs_of(ROWS), small, grown).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+        assert Counter(map(tuple, got.collect())) == want
+
+
 def test_sharding_growth_and_weights(spark):
     ids = spark.range(20_000).selectExpr("id AS doc_id", "CAST(id AS STRING) AS k")
     from pyspark.sql import functions as F
