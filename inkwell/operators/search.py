@@ -8,7 +8,7 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import query as Q
@@ -99,17 +99,15 @@ class Engine:
         return hits if self.min_score is None else hits.where(F.col("score") >= self.min_score)
 
     def keyword(self, text: str, page: int = 1, size: int | None = PER_PAGE) -> Page:
-        """A page of the ranked hits. They are scored once for the page and the total."""
+        """A page of the ranked hits. One job scores them, for the page and the total."""
         per_page, page = size or PER_PAGE, max(1, page)
         hits = self.scored(text)
         if hits is None:
             return self._empty(page, per_page)
-        hits = hits.cache()
-        try:
-            total = hits.count()
-            top = hits.orderBy(F.desc("score"), "id").offset((page - 1) * per_page).limit(per_page).collect()  # per_page rows at most
-        finally:
-            hits.unpersist()
+        seen = Observation()
+        counted = hits.observe(seen, F.count(F.lit(1)).alias("total"))
+        top = counted.orderBy(F.desc("score"), "id").offset((page - 1) * per_page).limit(per_page).collect()  # per_page rows at most
+        total = seen.get["total"]
         return Page(self._rows([(r.id, r.score) for r in top]), total, page, per_page, -(-total // per_page))
 
     def hybrid(self, text: str, page: int = 1, size: int | None = PER_PAGE) -> Page:
