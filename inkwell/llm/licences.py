@@ -278,7 +278,8 @@ def scan_documents(docs: DataFrame, sentences: dict = SENTENCES, rules: tuple =
     """doc_id, licence, rule, sentence (the piece it begins with, from 0), n_sentences (pieces) of every match in docs (doc_id, text)."""
     known, tried = _tables(sentences, rules)
     text = F.coalesce("text", F.lit(""))
-    leads = sorted(set().union(*[lead(w) for _, w in known]))  # a text without any has no match
+    leads = set().union(*[lead(w) for _, w in known])  # a text without any has no match
+    leads = sorted(w for w in leads if not any(x in w and x != w for x in leads))
     plain = F.filter(F.transform(F.split(F.regexp_replace(text, STOP, "$1\n"), "\n"), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))), lambda s: s != "")
     whole = F.concat(F.lit("|"), F.array_join(plain, "||"), F.lit("|"))
     words = F.array(*[F.struct(F.lit(n).alias("id"), F.array(*[F.lit(f" {x} ") for x in core(w)]).alias("any")) for n, w in known])
@@ -300,7 +301,7 @@ def scan_documents(docs: DataFrame, sentences: dict = SENTENCES, rules: tuple =
         return _let(F.flatten(F.transform(likely, lambda r: places(pieces, r))), lambda m: F.filter(m, lambda a: ~F.exists(m, lambda b: inside(a, b))))
 
     inside = lambda a, b: (b["sentence"] <= a["sentence"]) & (b["sentence"] + b["n_sentences"] >= a["sentence"] + a["n_sentences"]) & (b["n_sentences"] > a["n_sentences"])
-    found = docs.where(_any(F.lower(text), leads)).select("doc_id", F.inline_outer(_let(whole, matches)))  # outer: a filter on its size would evaluate it again
+    found = docs.where(_let(F.lower(text), lambda low: _any(low, leads))).select("doc_id", F.inline_outer(_let(whole, matches)))  # outer: a filter on its size would evaluate it again
     return found.where("licence is not null")
 
 
