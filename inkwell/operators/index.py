@@ -17,7 +17,7 @@ from ..functions import text as T
 from ..functions.stem import STOP, stem
 from ..sources.store import Store
 
-PART_BYTES = 128 << 20
+PART_BYTES, LEAST_PARTS = 64 << 20, 8
 KNOWN_STEMS = 1 << 19
 
 
@@ -91,10 +91,9 @@ def _sorted(postings: DataFrame, parts: int) -> DataFrame:
     return postings.repartitionByRange(parts, "term", "id").sortWithinPartitions("term", "id")
 
 
-def _parts(pages: DataFrame) -> int:
-    """Files of an index table: one for so many bytes of text, eight at least."""
-    size = pages.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(8, -(-size // PART_BYTES))
+def _size(pages: DataFrame) -> int:
+    """Bytes of the files that pages come from, as the optimiser estimates them; no job is run."""
+    return int(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
 
 
 def upsert(store: Store, pages: DataFrame) -> None:
@@ -109,7 +108,7 @@ def upsert(store: Store, pages: DataFrame) -> None:
 
 
 def _parts_of(store: Store, name: str) -> int:
-    return max(8, len(store.read(name).inputFiles()))
+    return max(LEAST_PARTS, len(store.read(name).inputFiles()))
 
 
 def lengths(pages: DataFrame) -> DataFrame:
@@ -125,7 +124,10 @@ def stats(found: DataFrame) -> DataFrame:
 
 def build(store: Store, pages: DataFrame, parts: int | None = None) -> None:
     """Writes all index tables anew; pages has id, title, url, date, text, scraped_on_date. A term in very many pages fills several parts."""
-    parts = parts or _parts(pages)
+    size = _size(pages)
+    parts = parts or max(LEAST_PARTS, -(-size // PART_BYTES))
+    if size < LEAST_PARTS * PART_BYTES:  # few files, or one row group: one task would read them
+        pages = pages.repartition(LEAST_PARTS)
     store.overwrite("documents_index", documents(pages))
     store.overwrite("keyword_postings", _sorted(keyword_postings(pages), parts))
     store.overwrite("lengths", lengths(pages))
