@@ -93,7 +93,7 @@ def _sorted(postings: DataFrame, parts: int) -> DataFrame:
 
 def _size(pages: DataFrame) -> int:
     """Bytes of the files that pages come from, as the optimiser estimates them; no job is run."""
-    return int(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def upsert(store: Store, pages: DataFrame) -> None:
