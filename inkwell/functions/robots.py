@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-AGENT = "BlogSearchBot"
+AGENT = "InkwellBot"
 
 
 def _rules(agent: str):

@@ -173,7 +173,7 @@ def enqueue_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sent.select("feed_url", F.posexplode(F.from_json("message", "urls array<string>")["urls"]).alias("n", "url"))
 
 
-_ROBOTS = "User-agent: *\nDisallow: /fr/\nAllow: /\n\nUser-agent: BlogSearchBot\nAllow: /en/1\nDisallow: /en/\n"
+_ROBOTS = "User-agent: *\nDisallow: /fr/\nAllow: /\n\nUser-agent: InkwellBot\nAllow: /en/1\nDisallow: /en/\n"
 
 
 @query(

@@ -38,7 +38,7 @@ def test_scrape(spark):
     base = "https://a.example"
     urls = [f"{base}/p/{i}" for i in range(12)]
     html = {urls[0]: LONG.format("zero"), urls[1]: None, urls[2]: "", urls[3]: "<html><body><p>short</p></body></html>", urls[4]: "no markup at all", urls[5]: LONG.format("five"), urls[6]: None, urls[8]: LONG.format("late")}
-    robots = spark.createDataFrame([(base, "User-agent: *\nDisallow: /\n\nUser-agent: blogsearchbot\nDisallow: /p/5\n"), ("https://closed.example", "User-agent: *\nDisallow: /")], "base_url string, robots string")
+    robots = spark.createDataFrame([(base, "User-agent: *\nDisallow: /\n\nUser-agent: inkwellbot\nDisallow: /p/5\n"), ("https://closed.example", "User-agent: *\nDisallow: /")], "base_url string, robots string")
     messages = spark.createDataFrame([(1, [*urls[:7], urls[7], urls[8]]), (2, ["https://closed.example/a", "https://closed.example/b"]), (3, ["https://free.example/x", "https://closed.example/c"])], "message_id long, urls array<string>")
     fetched = spark.createDataFrame([*html.items(), ("https://closed.example/c", LONG.format("c"))], "url string, html string")
     got = crawl.scrape(messages, fetched, robots)
