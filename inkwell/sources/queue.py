@@ -11,12 +11,17 @@ from .schemas import MESSAGE
 MOST = 30
 
 
-def messages(urls: DataFrame, group: str, url: str = "url", most: int = MOST) -> DataFrame:
-    """group, message: the addresses of each group as JSON, in order, so many to a message; a group without any has no message."""
+def parts(urls: DataFrame, group: str, url: str = "url", most: int = MOST) -> DataFrame:
+    """group, part, message: the addresses of each group as JSON, in order, so many to a part, counted from 0; a group without any has none."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(url)) - 1
-    numbered = urls.where(F.col(url).isNotNull()).select(group, url, F.floor(place / most).alias("_part"))
-    listed = numbered.groupBy(group, "_part").agg(F.sort_array(F.collect_list(url)).alias("urls"))
-    return listed.select(group, F.to_json(F.struct("urls")).alias("message"))
+    numbered = urls.where(F.col(url).isNotNull()).select(group, url, F.floor(place / most).cast("int").alias("part"))
+    listed = numbered.groupBy(group, "part").agg(F.sort_array(F.collect_list(url)).alias("urls"))
+    return listed.select(group, "part", F.to_json(F.struct("urls")).alias("message"))
+
+
+def messages(urls: DataFrame, group: str, url: str = "url", most: int = MOST) -> DataFrame:
+    """group, message: as parts, each a message of its own."""
+    return parts(urls, group, url, most).drop("part")
 
 
 def send(found: DataFrame, path: str) -> None:
@@ -52,4 +57,9 @@ def stream(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
 
 def lease_seconds(urls: Column) -> Column:
     """Time a worker needs for a message."""
-    return F.greatest(F.lit(300), 20 * F.size(urls) + 60)
+    return seconds_for(F.size(urls))
+
+
+def seconds_for(n: Column) -> Column:
+    """Time a worker needs for so many addresses under one lease."""
+    return F.greatest(F.lit(300), 20 * n + 60).cast("int")

@@ -31,3 +31,11 @@ def test_titles(spark, tmp_path):
     html = [f'<meta property="og:title" content="other"><title>{t}</title>' for t in titles] + ["<TITLE>x</TITLE>", "<title>a<b></title>", "no markup", "", None]
     ours, theirs = twins(spark, tmp_path, "html_title", pages=spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], PAGE))
     assert ours == theirs and ours[0] == (0, "A && B&amp")
+
+
+def test_hosts_of_many_messages(spark, tmp_path):
+    urls = [f"https://www.a.example/{i:03}" for i in range(70)] + ["https://a.example/000"] * 3 + [f"http://b.example/{i}" for i in range(30)] + ["https://c.example/"]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], PAGE)
+    for name in ("lease_seconds", "message_json", "queue_depth"):
+        ours, theirs = twins(spark, tmp_path, name, pages=pages)
+        assert ours == theirs and ours
