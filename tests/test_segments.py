@@ -122,3 +122,15 @@ def test_terms_are_counted_before_anything_is_shuffled(spark):
     found = index.term_stats(pages)
     assert {r.term: r.df for r in found.collect()} == {"a": 2, "b": 1, "c": 1, "x": 1}
     assert "id#" not in found._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)[0]  # terms alone are shuffled
+
+
+def test_a_query_builds_only_what_it_reads(spark, tmp_path):
+    from inkwell.plans.searches import _Posts
+
+    store = _Posts(spark, Store(spark, shared_root(spark)).scratch(), pages_of(spark, some_texts(10, 3)))
+    engine = search.Engine(store, min_score=0.0)
+    there = lambda: {t for t in (*index.MAKERS, "keyword_stats", "pages") if store.exists(t)}
+    assert engine.search(" \t ").total == 0 and engine.random(2).count() == 1 and there() == set()
+    assert engine.keyword("site:s1").total > 0 and there() == {"documents_index"}
+    assert engine.keyword("dog").total > 0 and there() == {"documents_index", "keyword_postings", "lengths", "keyword_stats"}
+    assert engine.full_text("dog").total > 0 and there() == {*index.MAKERS, "keyword_stats"}
