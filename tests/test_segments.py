@@ -134,3 +134,27 @@ def test_a_query_builds_only_what_it_reads(spark, tmp_path):
     assert engine.keyword("site:s1").total > 0 and there() == {"documents_index"}
     assert engine.keyword("dog").total > 0 and there() == {"documents_index", "keyword_postings", "lengths", "keyword_stats"}
     assert engine.full_text("dog").total > 0 and there() == {*index.MAKERS, "keyword_stats"}
+
+
+def test_keyword_postings_in_slices():
+    import pyarrow as pa
+
+    lists = [["b", "é", "b", "a"], [], ["z"], ["b"] * 5, ["a", "\U0001f100", "ￜ"]]
+    fields = ["title", "text", "title", "text", "text"]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 7, 9, 10, 11], pa.int64()), pa.array(fields), pa.array(lists, pa.list_(pa.string()))], names=["id", "field", "tokens"])
+    want = sorted((w, i, f, n, len(t)) for i, f, t in zip([7, 7, 9, 10, 11], fields, lists) for w, n in Counter(t).items())
+    was = index.SLICE_TOKENS
+    try:
+        for index.SLICE_TOKENS in (1, 4, 100):
+            found = [[tuple(r.values()) for r in b.to_pylist()] for b in index._counts(iter([batch.slice(1), batch.slice(0, 1), batch.slice(1, 1)]))]
+            assert sorted(r for b in found for r in b) == want
+            for b in found:
+                assert [r[0].encode() for r in b] == sorted(r[0].encode() for r in b)
+    finally:
+        index.SLICE_TOKENS = was
+
+
+def test_a_postings_task_counts_no_token_by_lambda(spark):
+    """The plan that makes the whole index has no function of every token of a row but the one that finds them."""
+    plan = index.keyword_postings(pages_of(spark, some_texts(5, 4)))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "lambdafunction" not in plan and "Exchange" not in plan
